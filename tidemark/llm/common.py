@@ -39,6 +39,7 @@ def stored(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of plans that are done
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -135,3 +136,18 @@ BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4
 def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Those that have rows."""
     return (x for x in frames if x.num_rows)
+
+
+def groups_of(frames: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.Table]:
+    """The rows of each key, from batches that are sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for x in batches(frames):
+        keys = x.column(key).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and held[-1].column(key)[0].as_py() != keys[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(x.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)

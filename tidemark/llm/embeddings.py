@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batches, bounded_batches, flat_bytes, mixed, stored
+from tidemark.llm.common import batches, bounded_batches, groups_of, mixed, stored
 from tidemark.llm.components import components
 
 #: Members of a block; a tile compares two blocks.
@@ -44,28 +44,6 @@ class Hashes:
         return out.astype(np.int64)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of doubles packed as binary, all of one size."""
-    data, starts = flat_bytes(column)
-    return data.view(np.float64).reshape(len(starts) - 1, -1) if len(data) else np.zeros((len(starts) - 1, 0))
-
-
-def groups_of(frames: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.Table]:
-    """The rows of each key, from batches that are sorted by it."""
-    held: list[pa.RecordBatch] = []
-    for x in batches(frames):
-        keys = x.column(key)
-        change = np.flatnonzero(np.asarray(keys[1:].to_numpy(zero_copy_only=False) != keys[:-1].to_numpy(zero_copy_only=False))) + 1
-        cuts = [0, *change.tolist(), x.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            if held and held[-1].column(key)[0].as_py() != keys[a].as_py():
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(x.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _forest(linked: np.ndarray) -> np.ndarray:
     """The smallest row that each row reaches in a symmetric boolean matrix."""
     label = np.arange(len(linked))
