@@ -152,12 +152,11 @@ def verified(links: DataFrame, texts: DataFrame, width: int, percent: int, kind:
     return rows.repartition("gid").sortWithinPartitions("gid", "role").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _postings(reps: DataFrame, hints: np.ndarray, buckets: int, width: int, percent: int, kind: str) -> DataFrame:
+def _postings(reps: DataFrame, hints: np.ndarray, buckets: int, width: int, percent: int) -> DataFrame:
     """Packed postings of the sets' prefixes: (bucket, shingle, id, component, size, position), each but bucket an array."""
     known, order = np.sort(hints[:, 0]), np.argsort(hints[:, 0], kind="stable")
     weight = hints[order, 1]
     shared = reps.sparkSession.sparkContext.broadcast((known, weight))  # at most HINTS rows
-    whole = pa.int64() if kind == "bigint" else pa.int32()
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, weight = shared.value
@@ -183,13 +182,12 @@ def _postings(reps: DataFrame, hints: np.ndarray, buckets: int, width: int, perc
             cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(by)]))
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array([c[a:b].tobytes() for a, b in cuts], pa.binary()) for c in columns)], ["bucket", "shingle", "id", "component", "size", "position"])
 
-    assert whole
     return reps.select("id", "component", F.col("text").cast("binary")).mapInArrow(run, "bucket int, shingle binary, id binary, component binary, size binary, position binary")
 
 
 def _possible(size_x, pos_x, size_y, pos_y, percent: int):
     """Whether a shared shingle at these positions, if it is the first that two sets share, leaves room for the overlap."""
-    room = 1 + np.minimum(size_x - pos_x, size_y - pos_y) - 1
+    room = np.minimum(size_x - pos_x, size_y - pos_y)  # this shingle and all after it
     return (100 + percent) * room >= percent * (size_x + size_y)
 
 
@@ -276,7 +274,7 @@ def similar_components(df: DataFrame, text: str = "text", key: str = "doc_id", p
     hints = np.array([tuple(r) for r in hints], np.int64).reshape(-1, 2)
     reps = classes.select("id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component_id", "id").alias("component")).join(texts, "id")
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs, pairs_path = stored(_candidates(_postings(reps, hints, buckets, width, percent, kind), percent, kind))
+    pairs, pairs_path = stored(_candidates(_postings(reps, hints, buckets, width, percent), percent, kind))
     removed(spark, joined_path)
     needed = pairs.select(F.col("leader").alias("id")).union(pairs.select("member")).distinct()
     chosen, chosen_path = stored(texts.join(needed, "id", "left_semi"))

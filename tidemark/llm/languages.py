@@ -150,4 +150,4 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[
                     names[i], scores[i] = m.languages[b], p
             yield pa.RecordBatch.from_arrays([*x.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema.names)
 
-    return df.select(*keep, text).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)

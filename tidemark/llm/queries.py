@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, embeddings, html_text, jaccard, languages, licenses, media, packing, urls
+from tidemark.llm import bpe, embeddings, html_text, jaccard, languages, licenses, media, packing, suffixes, urls
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RULES = (urls.Rule("net/", False), urls.Rule("example.net/en/", True), urls.Rule("example.com/de/", False), urls.Rule("org/fr/", True))
@@ -50,6 +50,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.predict(documents, model, keep=("doc_id", "held_out"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
