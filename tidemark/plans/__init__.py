@@ -1,0 +1,6 @@
+"""Registered queries over the star-schema tables, each with its SQL where SQL can say it."""
+
+from tidemark.plans import transforms
+from tidemark.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "transforms"]
