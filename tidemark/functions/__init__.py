@@ -1,0 +1 @@
+"""Analytics of series as aggregates and windows."""
