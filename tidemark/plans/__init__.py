@@ -1,6 +1,6 @@
 """Registered queries over the star-schema tables, each with its SQL where SQL can say it."""
 
-from tidemark.plans import forecasts, transforms
+from tidemark.plans import composed, forecasts, transforms
 from tidemark.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "forecasts", "transforms"]
+__all__ = ["ORACLES", "QUERIES", "composed", "forecasts", "transforms"]
