@@ -26,7 +26,7 @@ from tidemark.llm.common import BYTE_VALUES, batches, bounded_batches, extended,
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Pre-tokens kept by a worker; beyond that it starts anew.
-MOST_WORDS = 1_500_000
+MOST_WORDS = 500_000
 
 
 def _byte_characters() -> list[str]:

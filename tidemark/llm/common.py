@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 #: Limits of one Arrow batch handed to Python: rows, and bytes (one row may be longer than that).
-BATCH_ROWS = 20_000
-BATCH_BYTES = 12 << 20
+BATCH_ROWS = 5_000
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession, n_bytes: int = BATCH_BYTES) -> None:
