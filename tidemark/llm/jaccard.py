@@ -30,7 +30,9 @@ from tidemark.llm.common import BYTE_VALUES, batches, bounded_batches, flat_byte
 from tidemark.llm.components import components
 
 #: Frequent shingles that every task knows: only their place in the global order depends on it.
-HINTS = 1 << 16
+HINTS = 1 << 18
+#: Shingles of a stretch of rows that are counted together for the hints.
+COUNTED = 6_000_000
 #: Members of a leader that are verified together, and entries of an index block.
 CHUNK, BLOCK = 256, 256
 BANDS, BAND_WIDTH = 8, 3
@@ -84,10 +86,19 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _described(df: DataFrame, key: str, text: str, width: int, kind: str) -> DataFrame:
-    """kind 0: a row of df, its set's size, digest and band keys; kind 1: a shingle and in how many sets of a batch it is."""
+    """kind 0: a row of df, its set's size, digest and band keys; kind 1: a shingle and in how many sets of a stretch of rows it is."""
+
+    def often(held: list[np.ndarray], like: pa.DataType) -> pa.RecordBatch:
+        shingles, counts = np.unique(np.concatenate(held), return_counts=True)
+        many = counts > 1
+        k = int(many.sum())
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int8)), pa.nulls(k, like), pa.array(counts[many]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.array(shingles[many].astype(np.int64))], ["kind", "id", "n", "h1", "h2", "bands", "shingle"])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        like, size = None, 0
         for x in batches(frames):
+            like = x.column(0).type
             sets = shingle_sets(*flat_bytes(x.column(1)), width)
             digest = np.zeros((len(sets), 2), np.int64)
             bands: list = [None] * len(sets)
@@ -102,11 +113,13 @@ def _described(df: DataFrame, key: str, text: str, width: int, kind: str) -> Dat
                 [pa.array(np.zeros(len(sets), np.int8)), x.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0], mask=null), pa.array(digest[:, 1], mask=null), pa.array(bands, pa.list_(pa.int64())), pa.nulls(len(sets), pa.int64())],
                 ["kind", "id", "n", "h1", "h2", "bands", "shingle"],
             )
-            shingles, counts = np.unique(np.concatenate(sets), return_counts=True)
-            many = counts > 1
-            k = int(many.sum())
-            if k:
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int8)), pa.nulls(k, x.column(0).type), pa.array(counts[many]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.array(shingles[many].astype(np.int64))], ["kind", "id", "n", "h1", "h2", "bands", "shingle"])
+            held += sets
+            size += sum(map(len, sets))
+            if size > COUNTED:
+                yield often(held, like)
+                held, size = [], 0
+        if held:
+            yield often(held, like)
 
     return df.select(key, F.col(text).cast("binary").alias("_text")).mapInArrow(run, f"kind tinyint, id {kind}, n bigint, h1 bigint, h2 bigint, bands array<bigint>, shingle bigint")
 
@@ -260,24 +273,25 @@ def similar_components(df: DataFrame, text: str = "text", key: str = "doc_id", p
     rows = described.filter("kind = 0")
     classes, classes_path = stored(rows.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("bands").alias("bands")))
     texts = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    by_id = lambda ids: texts.join(ids.hint("merge"), "id", "left_semi")  # noqa: E731  ids grow with the table: never broadcast
 
     banded = classes.select("id", F.posexplode("bands").alias("band", "key"))
     led = banded.groupBy("band", "key").agg(F.min("id").alias("leader"), F.count("*").alias("m")).filter("m > 1").drop("m")
     similar, similar_path = stored(banded.join(led, ["band", "key"]).filter("id <> leader").select("leader", F.col("id").alias("member")).distinct())
     needed = similar.select(F.col("leader").alias("id")).union(similar.select("member")).distinct()
-    chosen, chosen_path = stored(texts.join(needed, "id", "left_semi"))
+    chosen, chosen_path = stored(by_id(needed))
     close, close_path = stored(verified(similar, chosen, width, percent, kind))
     removed(spark, similar_path, chosen_path)
     joined, joined_path = components(close)
 
     hints = described.filter("kind = 1").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(HINTS).collect()
     hints = np.array([tuple(r) for r in hints], np.int64).reshape(-1, 2)
-    reps = classes.select("id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component_id", "id").alias("component")).join(texts, "id")
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    reps = classes.select("id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component_id", "id").alias("component")).hint("merge").join(texts, "id")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs, pairs_path = stored(_candidates(_postings(reps, hints, buckets, width, percent), percent, kind))
     removed(spark, joined_path)
     needed = pairs.select(F.col("leader").alias("id")).union(pairs.select("member")).distinct()
-    chosen, chosen_path = stored(texts.join(needed, "id", "left_semi"))
+    chosen, chosen_path = stored(by_id(needed))
     links, links_path = stored(close.union(verified(pairs, chosen, width, percent, kind)))
     removed(spark, pairs_path, chosen_path, close_path)
     found, _ = components(links)
