@@ -184,7 +184,7 @@ def _merged(digit: np.ndarray, n0: np.ndarray, n1: np.ndarray, x: np.ndarray, y:
 def _solve(frames: Iterator[pa.RecordBatch], k: int, down: bool) -> Iterator[pa.RecordBatch]:
     """The names, ranks or repeats of a bucket's records, back to their packs."""
     kinds = [np.int64] * (3 if down else 7 if k == 0 else 5)
-    for g in groups_of(frames):
+    for g in groups_of(frames, 2):
         parts = [_load(b.as_py(), *kinds) for b in g.column("blob")]
         sizes = [len(p[0]) for p in parts]
         columns = [np.concatenate(c) for c in zip(*parts)]
