@@ -19,8 +19,9 @@ LEAST_SCORE = 0.3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the labelled languages stay; a missing label is filled in. Texts without letters go."""
-    judged = languages.predict(docs, languages.fit(docs), keep=tuple(docs.columns))
-    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    judged = languages.predict(rows, languages.fit(docs), keep=("row",)).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return judged.select(*(F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else f"row.{c}" for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
