@@ -219,7 +219,7 @@ class SplineTransformer(Scaler):
             knots = [s["min"] + step * i for i in range(-self.degree, self.n_knots + self.degree)]
             x = F.greatest(F.lit(s["min"]), F.least(F.lit(s["max"]), F.col(c).cast("double")))
             last = self.degree + self.n_knots - 2
-            basis = [F.when((x >= a) & ((x < b) | (F.lit(i == last) & (x <= b))), 1.0).otherwise(0.0) for i, (a, b) in enumerate(zip(knots, knots[1:]))]
+            basis = [F.when((x >= a) & ((x < b) | F.lit(i == last)), 1.0).otherwise(0.0) if i <= last else F.lit(0.0) for i, (a, b) in enumerate(zip(knots, knots[1:]))]
             for d in range(1, self.degree + 1):
                 basis = [(x - knots[i]) / (d * step) * basis[i] + (knots[i + d + 1] - x) / (d * step) * basis[i + 1] for i in range(len(basis) - 1)]
             made += [b.alias(f"{c}_sp_{i}") for i, b in enumerate(basis)]
