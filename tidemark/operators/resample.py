@@ -54,7 +54,8 @@ def _before(c: str, w) -> Column:
 
 
 def _behind(c: str, w) -> Column:
-    return F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    """w must run backwards: a frame that ends at the series' end would be read anew for every row."""
+    return F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
 @dataclass
@@ -73,17 +74,18 @@ class TimeImputer(Operator):
         out = numbered(df, self)
         for c in columns:
             out = out.withColumns({f"_r_{c}": F.when(F.col(c).isNotNull(), F.col("_rn")), f"_t_{c}": F.when(F.col(c).isNotNull(), F.col(self.time))})
-        made = [self._filled(c, w).alias(c) for c in columns]
+        back = self.whole().orderBy(F.desc(self.time))
+        made = [self._filled(c, w, back).alias(c) for c in columns]
         return out.select(*self.index(), *made)
 
-    def _filled(self, c: str, w) -> Column:
+    def _filled(self, c: str, w, back) -> Column:
         x, rn = F.col(c), F.col("_rn")
-        before, behind = _before(c, w), _behind(c, w)
-        gap, gap_behind = rn - _before(f"_r_{c}", w), _behind(f"_r_{c}", w) - rn
+        before, behind = _before(c, w), _behind(c, back)
+        gap, gap_behind = rn - _before(f"_r_{c}", w), _behind(f"_r_{c}", back) - rn
         if self.limit is not None:
             before, behind = F.when(gap <= self.limit, before), F.when(gap_behind <= self.limit, behind)
         if self.method == "linear":
-            return F.when(x.isNotNull(), x.cast("double")).otherwise(_before(c, w) + (_behind(c, w) - _before(c, w)) * gap / F.when(gap + gap_behind > 0, gap + gap_behind))
+            return F.when(x.isNotNull(), x.cast("double")).otherwise(_before(c, w) + (_behind(c, back) - _before(c, w)) * gap / F.when(gap + gap_behind > 0, gap + gap_behind))
         if self.method == "forward":
             return before
         if self.method == "backward":
@@ -92,7 +94,7 @@ class TimeImputer(Operator):
             return F.coalesce(before, behind)
         at = F.unix_micros(F.col(self.time).cast("timestamp"))
         past = at - F.unix_micros(_before(f"_t_{c}", w).cast("timestamp"))
-        ahead = F.unix_micros(_behind(f"_t_{c}", w).cast("timestamp")) - at
+        ahead = F.unix_micros(_behind(f"_t_{c}", back).cast("timestamp")) - at
         return F.when(ahead.isNull() | (past <= ahead), F.coalesce(before, F.when(past.isNull(), behind))).when(past.isNull() | (ahead < past), behind)
 
 
