@@ -142,11 +142,11 @@ def test_suffix_merge_is_lexicographic():
     text = np.frombuffer(bytes(random.choice(b"ab") for _ in range(300)), np.uint8)
     pack = suffixes.Pack(suffixes._dump(np.array([1]), np.array([0]), np.array([len(text)]), text))
     suffix = {i: text[i:].tobytes() for i in range(len(text))}
-    sample = np.flatnonzero(pack.level(1))
+    sample = np.flatnonzero(pack.ranked(1, 1))
     ranks = np.empty(len(sample), np.int64)
     for k, p in enumerate(sorted(sample.tolist(), key=suffix.get)):
         ranks[np.searchsorted(sample, p)] = k + 1
-    places, inverse, order, _, columns = suffixes._records(pack, 0, False, None, ranks, np.zeros(0, np.uint64), 10)
+    places, inverse, order, _, columns = suffixes._records(pack, 0, False, None, ranks, np.zeros(0, np.uint64), 1)
     solved = suffixes._merged(*columns[:5])
     first = {int(u): int(places[i]) for i, u in reversed(list(enumerate(inverse)))}
     got = [first[int(order[i])] for i in solved]

@@ -6,6 +6,7 @@ Nulls in a text column count as empty texts everywhere in this package.
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -38,8 +39,9 @@ def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """Write df to the shared folder; return it reread, with a cut lineage, and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of plans that are done
+    time.sleep(0.3)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -23,12 +23,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BYTE_VALUES, batches, bounded_batches, flat_bytes, groups_of, mixed, prefix_sums, removed, span_hashes, stored
+from tidemark.llm.common import BYTE_VALUES, batches, bounded_batches, flat_bytes, groups_of, prefix_sums, removed, span_hashes, stored
 
 #: Bytes of a pack, about; a segment of more starts than this is cut.
 PACK = 1 << 20
@@ -57,16 +59,40 @@ def _chosen(data: np.ndarray, length: int, width: int) -> np.ndarray:
     return hashes[some[np.minimum(np.searchsorted(some, hashes), len(some) - 1)] == hashes]
 
 
+def _squeezed(a: np.ndarray) -> bytes:
+    """An array's bytes, plane by plane, compressed: names and ranks have few bytes that differ, and copies repeat them."""
+    a = np.ascontiguousarray(a)
+    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
+
+
+def _stretched(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, -1).T).reshape(-1).view(kind) if len(planes) else np.zeros(0, kind)
+
+
+def _steps(a: np.ndarray) -> np.ndarray:
+    """Zigzag differences of neighbours."""
+    d = np.diff(a, prepend=0)
+    return d << 1 ^ d >> 63
+
+
+def _sums(a: np.ndarray) -> np.ndarray:
+    u = a.view(np.uint64)
+    return np.cumsum((u >> np.uint64(1)).view(np.int64) ^ -(a & 1))
+
+
 def _dump(*arrays: np.ndarray) -> bytes:
-    return b"".join([np.array([len(a) for a in arrays], np.int64).tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+    parts = [_squeezed(a) for a in arrays]
+    return b"".join([np.array([len(p) for p in parts], np.int64).tobytes(), *parts])
 
 
 def _load(data: bytes, *kinds) -> list[np.ndarray]:
     sizes = np.frombuffer(data, np.int64, len(kinds))
     out, at = [], 8 * len(kinds)
     for n, kind in zip(sizes.tolist(), kinds):
-        out.append(np.frombuffer(data, kind, n, at))
-        at += n * np.dtype(kind).itemsize
+        out.append(_stretched(data[at : at + n], kind))
+        at += n
     return out
 
 
@@ -79,12 +105,14 @@ class Pack:
         self.n = len(self.data)
         self.end = np.repeat(ends, self.size)
         self.index = np.arange(self.n) - np.repeat(ends - self.size, self.size)
+        self.room = self.end - np.arange(self.n)
 
     def ahead(self, values: np.ndarray, by: int) -> np.ndarray:
         """values `by` positions on; 0 beyond a segment's end."""
         out = np.zeros(self.n, values.dtype)
-        out[: self.n - by] = values[by:]
-        out[np.arange(self.n) + by >= self.end] = 0
+        if by < self.n:
+            out[: self.n - by] = values[by:]
+        out[self.room <= by] = 0
         return out
 
     def level(self, k: int) -> np.ndarray:
@@ -94,15 +122,21 @@ class Pack:
             out &= self.index // 3**i % 3 != 0
         return out
 
+    def ranked(self, k: int, length: int) -> np.ndarray:
+        """Whether a position needs its rank on level k: starts of whole strings do, and what their merging asks for below."""
+        return self.level(k) & (self.room > length - 3**k)
+
     def first_names(self, k: int) -> np.ndarray:
         own = self.data.astype(np.int64) + 1
         return own if k == 0 else own << 18 | self.ahead(own, 1) << 9 | self.ahead(own, 2)
 
-    def front(self) -> np.ndarray:
-        """The first eight bytes as a number, zeros beyond a segment's end."""
-        own, out = self.data.astype(np.uint64), np.zeros(self.n, np.uint64)
+    def front(self, places: np.ndarray) -> np.ndarray:
+        """The first eight bytes at places as a number, zeros beyond a segment's end."""
+        room, out = self.room[places], np.zeros(len(places), np.uint64)
         for i in range(8):
-            out = out << np.uint64(8) | self.ahead(own, i)
+            byte = self.data[np.minimum(places + i, self.n - 1)].astype(np.uint64)
+            byte[room <= i] = 0
+            out = out << np.uint64(8) | byte
         return out
 
     def windows(self, length: int) -> np.ndarray:
@@ -122,8 +156,8 @@ def _spread(own: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
 def _records(pack: Pack, k: int, down: bool, names: np.ndarray | None, ranks: np.ndarray | None, splitters: np.ndarray, length: int):
     """What a pack asks at a level: (places, unique records' order, inverse, buckets, columns).
 
-    down: triples of level-k names of the sample of level k + 1. Otherwise, of the sample of level k: the digit, two names,
-    two ranks of level k + 1, and on level 0 the hash of the next `length` bytes.
+    down: triples of level-k names of the sample of level k + 1. Otherwise, of the ranked sample of level k: the digit, two
+    names, two ranks of level k + 1, and on level 0 the hash of the next `length` bytes. Records are sorted within a bucket.
     """
     step = 3**k
     name = pack.first_names(k) if k < 2 else _spread(names, np.flatnonzero(pack.level(k)), pack.n)
@@ -131,21 +165,26 @@ def _records(pack: Pack, k: int, down: bool, names: np.ndarray | None, ranks: np
         places = np.flatnonzero(pack.level(k + 1))
         columns = [name[places], pack.ahead(name, step)[places], pack.ahead(name, 2 * step)[places]]
     else:
-        places = np.flatnonzero(pack.level(k))
-        rank = _spread(ranks, np.flatnonzero(pack.level(k + 1)), pack.n)
+        places = np.flatnonzero(pack.ranked(k, length))
+        rank = _spread(ranks, np.flatnonzero(pack.ranked(k + 1, length)), pack.n)
         digit = (pack.index // step % 3)[places]
         one, two = pack.ahead(rank, step)[places], pack.ahead(rank, 2 * step)[places]
         columns = [digit, name[places], pack.ahead(name, step)[places], np.where(digit == 0, one, rank[places]), np.where(digit == 1, one, two)]
         if k == 0:
             columns.append(pack.windows(length)[places].view(np.int64))
     whole = np.zeros(len(places), np.uint64)
-    for c in columns:
-        whole = mixed(whole + c.astype(np.uint64))
-    _, first, inverse, counts = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
-    buckets = np.searchsorted(splitters, pack.front()[places[first]], side="right")
-    order = np.argsort(buckets, kind="stable")
+    with np.errstate(over="ignore"):
+        for c in columns:
+            whole = (whole + c.view(np.uint64)) * np.uint64(0x9FB21C651E98DF25)
+            whole ^= whole >> np.uint64(29)
+    inverse, distinct = pd.factorize(whole)
+    first = np.empty(len(distinct), np.int64)
+    first[inverse[::-1]] = np.arange(len(whole) - 1, -1, -1)
+    buckets = np.searchsorted(splitters, pack.front(places[first]), side="right")
+    own = [c[first] for c in columns]
+    order = np.lexsort([*([own[2], own[1], own[0]] if down else [own[3], own[1], own[0]]), buckets])
     if not down and k == 0:
-        columns.append(_spread(counts, first, len(places)))
+        columns.append(_spread(np.bincount(inverse, minlength=len(first)), first, len(places)))
     return places, inverse, order, buckets[order], [c[first[order]] for c in columns]
 
 
@@ -185,7 +224,7 @@ def _solve(frames: Iterator[pa.RecordBatch], k: int, down: bool) -> Iterator[pa.
     """The names, ranks or repeats of a bucket's records, back to their packs."""
     kinds = [np.int64] * (3 if down else 7 if k == 0 else 5)
     for g in groups_of(frames, 2):
-        parts = [_load(b.as_py(), *kinds) for b in g.column("blob")]
+        parts = [[_sums(c) for c in _load(b.as_py(), *kinds)] for b in g.column("blob")]
         sizes = [len(p[0]) for p in parts]
         columns = [np.concatenate(c) for c in zip(*parts)]
         bucket = g.column("bucket")[0].as_py()
@@ -205,7 +244,7 @@ def _solve(frames: Iterator[pa.RecordBatch], k: int, down: bool) -> Iterator[pa.
                 answer = np.empty(len(order), np.int64)
                 answer[order] = hit
         ends = np.cumsum(sizes)
-        blobs = [answer[e - s : e].tobytes() for s, e in zip(sizes, ends)]
+        blobs = [_squeezed(_steps(answer[e - s : e])) for s, e in zip(sizes, ends)]
         yield pa.RecordBatch.from_arrays([g.column("pack").combine_chunks(), pa.array(np.full(len(blobs), 9, np.int32)), g.column("bucket").combine_chunks(), pa.array(blobs, pa.binary())], ["pack", "kind", "bucket", "blob"])
 
 
@@ -219,7 +258,7 @@ def _level(base: DataFrame, k: int, down: bool, names: DataFrame | None, ranks:
         found: dict[int, list[bytes]] = {}
         for kind, blob in zip(g.column("kind").to_pylist(), g.column("blob")):
             found.setdefault(kind, []).append(blob.as_py())
-        own = [np.frombuffer(found[i][0], np.int64) if i in found else None for i in (1, 2)]
+        own = [_stretched(found[i][0], np.int64) if i in found else None for i in (1, 2)]
         pack = Pack(found[0][0])
         return pack, _records(pack, k, down, *own, splitters.value, length), found.get(9, [])
 
@@ -228,22 +267,22 @@ def _level(base: DataFrame, k: int, down: bool, names: DataFrame | None, ranks:
             _, (_, _, _, buckets, columns), _ = read(g)
             used, first = np.unique(buckets, return_index=True)
             cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(buckets)]))
-            blobs = [_dump(*(c[a:b].astype(np.int64) for c in columns)) for a, b in cuts]
+            blobs = [_dump(*(_steps(c[a:b].astype(np.int64)) for c in columns)) for a, b in cuts]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), g.column("pack")[0].as_py(), np.int64)), pa.array(np.full(len(used), 8, np.int32)), pa.array(used.astype(np.int32)), pa.array(blobs, pa.binary())], ["pack", "kind", "bucket", "blob"])
 
     def keep(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups_of(frames):
             pack, (places, inverse, order, _, _), answers = read(g)
             answer = np.empty(len(order), np.int64)
-            answer[order] = np.frombuffer(b"".join(answers), np.int64)
-            yield pa.RecordBatch.from_arrays([g.column("pack").combine_chunks()[:1], pa.array([1 if down else 2], pa.int32()), pa.array([0], pa.int32()), pa.array([answer[inverse].tobytes()], pa.binary())], ["pack", "kind", "bucket", "blob"])
+            answer[order] = np.concatenate([_sums(_stretched(a, np.int64)) for a in answers])
+            yield pa.RecordBatch.from_arrays([g.column("pack").combine_chunks()[:1], pa.array([1 if down else 2], pa.int32()), pa.array([0], pa.int32()), pa.array([_squeezed(answer[inverse])], pa.binary())], ["pack", "kind", "bucket", "blob"])
 
     def hits(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups_of(frames):
             pack, (places, inverse, order, _, _), answers = read(g)
             answer = np.empty(len(order), np.int64)
-            answer[order] = np.frombuffer(b"".join(answers), np.int64)
-            hit = np.flatnonzero(answer[inverse])
+            answer[order] = np.concatenate([_sums(_stretched(a, np.int64)) for a in answers])
+            hit = places[answer[inverse] != 0]
             if not len(hit):
                 continue
             segment = np.searchsorted(np.cumsum(pack.size), hit, side="right")
@@ -272,10 +311,10 @@ def _cut(data: np.ndarray, again: np.ndarray, length: int, width: int) -> list[t
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def repeated_spans(texts: DataFrame, length: int = 200, width: int = 64) -> tuple[DataFrame, list[str]]:
+def repeated_spans(texts: DataFrame, texts_path: str, length: int = 200, width: int = 64) -> DataFrame:
     """(id, a, b): the byte spans of distinct texts (id bigint, text binary) that strings met elsewhere cover; may touch or overlap.
 
-    Also the tables to remove once the result has been used.
+    texts must be a stored table; it is removed once the packs are written.
     """
     spark = texts.sparkSession
 
@@ -320,15 +359,16 @@ def repeated_spans(texts: DataFrame, length: int = 200, width: int = 64) -> tupl
             yield pack()
 
     base, base_path = stored(led.join(texts, "id").select("near", "id", "again", F.col("text")).repartition("near").sortWithinPartitions("near", "id").select("id", "again", "text").mapInArrow(cut, _ROW))
-    removed(spark, met_path)
+    removed(spark, met_path, texts_path)
     packs = base.count()
     if not packs:
-        return spark.createDataFrame([], "id bigint, a bigint, b bigint"), [base_path]
+        return spark.createDataFrame([], "id bigint, a bigint, b bigint")
     each = max(1, SAMPLE // packs)
 
     def fronts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups_of(frames):
-            keys = np.unique(Pack(g.column("blob")[0].as_py()).front())
+            pack = Pack(g.column("blob")[0].as_py())
+            keys = np.unique(pack.front(np.arange(pack.n)))
             yield pa.RecordBatch.from_arrays([pa.array(keys[np.unique(np.linspace(0, len(keys) - 1, each).astype(int))].view(np.int64))], ["k"])
 
     sample = F.pmod(F.xxhash64("pack"), F.lit(max(1, packs // SAMPLE))) == 0
@@ -348,7 +388,7 @@ def repeated_spans(texts: DataFrame, length: int = 200, width: int = 64) -> tupl
         removed(spark, path, *([names.pop(k)[1]] if k > 1 else []))
         ranks, path = after, after_path
     removed(spark, base_path)
-    return ranks, [path]
+    return ranks
 
 
 def repeats(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = 200, with_text: bool = False) -> DataFrame:
@@ -363,10 +403,9 @@ def repeats(df: DataFrame, text: str = "text", key: str = "doc_id", length: int
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     rows = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
-    classes, classes_path = stored(rows.select("id", "h1", "h2").groupBy("h1", "h2").agg(F.min("id").cast("bigint").alias("c"), F.count("*").alias("copies")))
+    classes, _ = stored(rows.select("id", "h1", "h2").groupBy("h1", "h2").agg(F.min("id").cast("bigint").alias("c"), F.count("*").alias("copies")))
     texts, texts_path = stored(rows.select(F.col("id").cast("bigint").alias("id"), "text").join(classes.select(F.col("c").alias("id")), "id", "left_semi"))
-    spans, paths = repeated_spans(texts, length)
-    removed(spark, texts_path)
+    spans = repeated_spans(texts, texts_path, length)
     by_class = spans.groupBy(F.col("id").alias("c")).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
     judged = classes.join(by_class, "c", "left").select("h1", "h2", (F.col("copies") > 1).alias("copied"), F.col("spans.a").alias("a"), F.col("spans.b").alias("b"))
     schema = f"{key} {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept string" * with_text
