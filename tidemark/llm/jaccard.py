@@ -260,6 +260,19 @@ def _candidates(postings: DataFrame, percent: int, kind: str) -> DataFrame:
     return postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "leader bigint, member bigint").distinct().select(F.col("leader").cast(kind), F.col("member").cast(kind))
 
 
+def _hints(counted: DataFrame) -> tuple[np.ndarray, str]:
+    """(shingle, count) of the most frequent shingles, at most HINTS of them: all those above a count that sizes by octave eighths give."""
+    counts, path = stored(counted.groupBy("shingle").agg(F.sum("n").alias("n")).withColumn("level", F.floor(F.log2("n") * 8).cast("int")))
+    total, least = 0, 1 << 30
+    for r in sorted(counts.groupBy("level").count().collect(), key=lambda r: -r["level"]):  # at most 512 rows
+        total += r["count"]
+        if total > HINTS:
+            break
+        least = r["level"]
+    found = counts.filter(F.col("level") >= least).select("shingle", "n").toArrow()
+    return np.stack([found.column(0).to_numpy(), found.column(1).to_numpy()], axis=1), path
+
+
 def similar_components(df: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 75, width: int = 5) -> DataFrame:
     """One row per row of df: key, n_shingles (its set's size), component_id (smallest key reachable by links).
 
@@ -284,8 +297,8 @@ def similar_components(df: DataFrame, text: str = "text", key: str = "doc_id", p
     removed(spark, similar_path, chosen_path)
     joined, joined_path = components(close)
 
-    hints = described.filter("kind = 1").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(HINTS).collect()
-    hints = np.array([tuple(r) for r in hints], np.int64).reshape(-1, 2)
+    hints, hints_path = _hints(described.filter("kind = 1"))
+    removed(spark, hints_path)
     reps = classes.select("id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component_id", "id").alias("component")).hint("merge").join(texts, "id")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs, pairs_path = stored(_candidates(_postings(reps, hints, buckets, width, percent), percent, kind))
