@@ -84,6 +84,13 @@ def test_changed_wording_is_reported():
     assert f.license == "ISC" and not f.exact and f.n_differences == 2
 
 
+def test_every_license_of_a_block(spark):
+    bsd = next(n for k, n, _ in licenses.NOTICES if k == "BSD-3-Clause")
+    texts = [None, "Licensed under the MIT License.\nLicensed under the Apache License, Version 2.0.", "Released under the MIT License, or licensed under CC BY 4.0.", bsd, bsd.replace("the copyright holder", "Acme"), "This work is licensed under the GNU Lesser General Public License, version 3."]
+    got = [r.licenses for r in licenses.scan(table(spark, texts)).orderBy(F.asc_nulls_first("doc_id")).collect()]
+    assert got == [[], ["Apache-2.0", "MIT"], ["CC-BY-4.0", "MIT"], ["BSD-3-Clause"], ["BSD-3-Clause"], ["LGPL-3.0"]]
+
+
 def test_languages(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2)
     model = languages.fit(df.filter("not held"))

@@ -3,7 +3,7 @@
 Blocks that hold a licence cue are compressed alone and with each template as a zstandard raw dictionary. Templates are
 ranked by the size reduction, and the best ones are confirmed, or not, by the exact differences in wording: every word
 of a template's notice must be there in order, apart from a share that its length allows, and none of its fixed words
-(names and versions) may be missing.
+(names and versions) may be missing. Every confirmed notice counts, but for one whose words mostly belong to a longer one.
 """
 
 from __future__ import annotations
@@ -11,9 +11,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -46,6 +46,8 @@ NOTICES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered"),
 )
 _CUE = re.compile(r"licen[cs]|permission|redistribut|free software|public domain|creative commons|copyright|unencumbered")
+#: Cost of a missing fixed word: more than any number of others.
+FAR = 1 << 20
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 
 
@@ -60,6 +62,7 @@ class Finding:
     exact: bool
     n_differences: int
     differences: str
+    at: tuple[int, ...]  # positions of the words met
 
 
 class Scanner:
@@ -93,34 +96,73 @@ class Scanner:
             yield low[first:end]
             at = end
 
-    def confirm(self, block: list[str], template: list[str], fixed: frozenset) -> tuple[bool, list[str]]:
-        """Whether the template's wording is in the block, and what differs: -missing and +inserted words."""
-        pairs = [p for p in SequenceMatcher(None, template, block, autojunk=False).get_opcodes()]
-        first = next((p[3] for p in pairs if p[0] == "equal"), 0)
-        last = next((p[4] for p in reversed(pairs) if p[0] == "equal"), 0)
-        missing, more = [], []
-        for kind, a, b, c, d in pairs:
-            if kind != "equal":
-                missing += template[a:b]
-                more += [w for i, w in enumerate(block[c:d], c) if first <= i < last]
-        good = len(missing) <= self.most_missing * len(template) and len(more) <= self.most_missing * len(template) and not fixed & {*missing}
-        return good, [f"-{w}" for w in missing] + [f"+{w}" for w in more]
-
-    def scan(self, block: str) -> Finding | None:
-        """The best confirmed template of a block. Size reductions rank the templates; longer wordings go before shorter of the same rank."""
+    def confirm(self, block: list[str], template: list[str], fixed: frozenset) -> list[tuple[tuple[int, ...], list[str]]]:
+        """Every place where the template's wording is in the block, least differences first and none twice: the positions of
+        the words met, and what differs, as -missing and +inserted words."""
+        most, have = int(self.most_missing * len(template)), {*block}
+        if not fixed <= have or sum(w not in have for w in template) > most:
+            return []
+        codes = {w: i for i, w in enumerate(dict.fromkeys(template))}
+        own = np.array([codes.get(w, -1) for w in block])
+        costs = [FAR if w in fixed else 1 for w in template]
+        steps = np.arange(len(block) + 1)
+        least = np.zeros((len(template) + 1, len(block) + 1), np.int64)  # differences of the first i words, ending before word j
+        for i, (w, cost) in enumerate(zip(template, costs), 1):
+            row = least[i - 1] + cost
+            row[1:] = np.where(own == codes[w], np.minimum(row[1:], least[i - 1, :-1]), row[1:])
+            least[i] = np.minimum.accumulate(row - steps) + steps
+        out: list[tuple[tuple[int, ...], list[str]]] = []
+        taken = np.zeros(len(block) + 1, bool)
+        ends = np.flatnonzero(least[-1] <= 2 * most)
+        for j in ends[np.argsort(least[-1, ends], kind="stable")].tolist():
+            if taken[j - 1]:
+                continue
+            i, at, missing, more = len(template), [], [], []
+            while i:
+                if j and template[i - 1] == block[j - 1] and least[i, j] == least[i - 1, j - 1]:
+                    i, j = i - 1, j - 1
+                    at.append(j)
+                elif least[i, j] == least[i - 1, j] + costs[i - 1]:
+                    i -= 1
+                    missing.append(template[i])
+                else:
+                    j -= 1
+                    more.append(block[j])
+            if at and len(missing) <= most and len(more) <= most and not taken[at].any():
+                taken[at[-1] : at[0] + 1] = True
+                out.append((tuple(reversed(at)), [f"-{w}" for w in reversed(missing)] + [f"+{w}" for w in reversed(more)]))
+        return out
+
+    def findings(self, block: str) -> list[Finding]:
+        """Every confirmed template of a block, in the order of the size reductions, longer wordings before shorter of the same rank."""
         own, data = words(block), block.encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(data))
         ranked = sorted(((alone - len(c.compress(data))) / alone, len(t), i) for i, (_, t, _, c) in enumerate(self.templates))[::-1]
-        found = None
+        found = []
         for k, (reduction, _, i) in enumerate(ranked):
             if k >= self.ranked and reduction < self.least_reduction:
                 break
             name, template, fixed, _ = self.templates[i]
-            good, differences = self.confirm(own, template, fixed)
-            if good and (found is None or len(differences) < found.n_differences):
-                found = Finding(name, reduction, not differences, len(differences), " ".join(differences))
+            found += [Finding(name, reduction, not d, len(d), " ".join(d), at) for at, d in self.confirm(own, template, fixed)]
         return found
 
+    def scan(self, block: str) -> Finding | None:
+        """The finding of the least differences in a block."""
+        return best(distinct(self.findings(block)))
+
+
+def distinct(found: list[Finding]) -> list[Finding]:
+    """Those of which at most half the words belong to a finding of more words (of as many: of fewer differences)."""
+    out: list[Finding] = []
+    for f in sorted(found, key=lambda f: (-len(f.at), f.n_differences, -f.reduction, f.license)):
+        if all(2 * len({*f.at} & {*o.at}) <= len(f.at) for o in out):
+            out.append(f)
+    return out
+
+
+def best(found: list[Finding]) -> Finding | None:
+    return min(found, key=lambda f: (f.n_differences, -f.reduction, f.license), default=None)
+
 
 @lru_cache(maxsize=4)
 def scanner(**options) -> Scanner:
@@ -147,10 +189,10 @@ def scan(df: DataFrame, text: str = "text", key: str = "doc_id", **options) -> D
                     if b not in kept:
                         if len(kept) > 20_000:
                             kept.clear()
-                        kept[b] = by.scan(b)
-                found = [f for b in blocks if (f := kept[b] if b in kept else by.scan(b))]
-                best = min(found, key=lambda f: (f.n_differences, -f.reduction, f.license), default=None)
-                rows.append((best and best.license, sorted({f.license for f in found}), best and best.reduction, best and best.exact, best and best.n_differences, best and best.differences, len(blocks)))
+                        kept[b] = distinct(by.findings(b))
+                found = [f for b in blocks for f in (kept[b] if b in kept else distinct(by.findings(b)))]
+                top = best(found)
+                rows.append((top and top.license, sorted({f.license for f in found}), top and top.reduction, top and top.exact, top and top.n_differences, top and top.differences, len(blocks)))
             types = (pa.string(), pa.list_(pa.string()), pa.float64(), pa.bool_(), pa.int32(), pa.string(), pa.int32())
             yield pa.RecordBatch.from_arrays([x.column(0), *(pa.array(v, t) for v, t in zip(zip(*rows), types))], schema.names)
 
