@@ -1,6 +1,7 @@
 """Operators that judge each row by itself: encoding, media, licences, languages, pages, URLs."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -91,6 +92,16 @@ def test_every_license_of_a_block(spark):
     assert got == [[], ["Apache-2.0", "MIT"], ["CC-BY-4.0", "MIT"], ["BSD-3-Clause"], ["BSD-3-Clause"], ["LGPL-3.0"]]
 
 
+def test_licenses_in_long_lines():
+    s, rng = licenses.scanner(), random.Random(5)
+    vocabulary = "the of software in and with copies notice terms river mountain under this license file that may be used without conditions for any person or other granted stone".split()
+    for n in (0, 110, 500, 3000):
+        for name, notice, _ in licenses.NOTICES:
+            before, after = (" ".join(rng.choices(vocabulary, k=n)) for _ in "ab")
+            for text in (f"{before} {notice} {after}", f"{before}\n{notice.replace(' ', chr(10))}\n{after}"):
+                assert {f.license for b, _ in s.blocks(text) for f in licenses.distinct(s.findings(b)) if f.exact} == {name}, (n, notice)
+
+
 def test_languages(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2)
     model = languages.fit(df.filter("not held"))

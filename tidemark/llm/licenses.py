@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
-Blocks that hold a licence cue are compressed alone and with each template as a zstandard raw dictionary. Templates are
-ranked by the size reduction, and the best ones are confirmed, or not, by the exact differences in wording: every word
+Windows around licence cues are compressed alone and with each template, whose fixed words they hold, as a zstandard raw
+dictionary. The size reduction ranks these templates; each is confirmed, or not, by the exact differences in wording: every word
 of a template's notice must be there in order, apart from a share that its length allows, and none of its fixed words
 (names and versions) may be missing. Every confirmed notice counts, but for one whose words mostly belong to a longer one.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -45,7 +45,7 @@ NOTICES = (
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0.", "cc0 1.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered"),
 )
-_CUE = re.compile(r"licen[cs]|permission|redistribut|free software|public domain|creative commons|copyright|unencumbered")
+_CUE = re.compile(r"licen[cs]|permission|redistribut|free\s+software|public\s+domain|creative\s+commons|copyright|unencumbered")
 #: Cost of a missing fixed word: more than any number of others.
 FAR = 1 << 20
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
@@ -68,33 +68,38 @@ class Finding:
 class Scanner:
     """Templates, with a compressor for each."""
 
-    def __init__(self, notices=NOTICES, level: int = 3, ranked: int = 4, least_reduction: float = 0.15, most_missing: float = 0.1):
+    def __init__(self, notices=NOTICES, level: int = 3, most_missing: float = 0.1):
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
         self.templates = []
         for name, notice, fixed in notices:
             as_dict = zstandard.ZstdCompressionDict(notice.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.templates.append((name, words(notice), frozenset(words(fixed)), zstandard.ZstdCompressor(level=level, dict_data=as_dict, write_content_size=False, write_dict_id=False)))
-        self.ranked, self.least_reduction, self.most_missing = ranked, least_reduction, most_missing
+        self.most_missing = most_missing
         self.longest = max(len(t[1]) for t in self.templates)
 
-    def blocks(self, text: str) -> Iterator[str]:
-        """Every line with a cue, and after it as many lines, up to a blank one, as the longest template may take."""
+    def blocks(self, text: str) -> Iterator[tuple[str, int]]:
+        """Windows of bounded length around the cues, each with the position of its first word. Wherever lines end, a notice
+        with a cue is in one of them as a whole."""
         low = text.lower()
-        at = 0
-        while m := _CUE.search(low, at):
-            first = low.rfind("\n", 0, m.start()) + 1
-            end = low.find("\n", m.end())
-            end = len(low) if end < 0 else end
-            n = len(_WORD.findall(low, first, end))
-            while n < self.longest and end < len(low):
-                stop = low.find("\n", end + 1)
-                stop = len(low) if stop < 0 else stop
-                if not (line := low[end + 1 : stop]).strip() or not _CUE.search(line) and n + len(words(line)) > self.longest:
+        if not _CUE.search(low):
+            return
+        starts, ends = np.array([m.span() for m in _WORD.finditer(low)]).T
+        reach = self.longest + int(self.most_missing * self.longest)
+        near: list[list[int]] = []
+        for m in _CUE.finditer(low):
+            first = max(0, int(np.searchsorted(ends, m.start(), side="right")) - reach)
+            last = min(len(starts), int(np.searchsorted(starts, m.end())) + reach)
+            if near and first <= near[-1][1]:
+                near[-1][1] = last
+            else:
+                near.append([first, last])
+        for first, last in near:
+            while True:
+                stop = min(first + 4 * reach, last)
+                yield low[starts[first] : ends[stop - 1]], first
+                if stop == last:
                     break
-                n += len(words(line))
-                end = stop
-            yield low[first:end]
-            at = end
+                first += 3 * reach
 
     def confirm(self, block: list[str], template: list[str], fixed: frozenset) -> list[tuple[tuple[int, ...], list[str]]]:
         """Every place where the template's wording is in the block, least differences first and none twice: the positions of
@@ -133,17 +138,23 @@ class Scanner:
                 out.append((tuple(reversed(at)), [f"-{w}" for w in reversed(missing)] + [f"+{w}" for w in reversed(more)]))
         return out
 
+    def reduction(self, data: bytes, alone: int, i: int) -> float:
+        return (alone - len(self.templates[i][3].compress(data))) / alone
+
     def findings(self, block: str) -> list[Finding]:
-        """Every confirmed template of a block, in the order of the size reductions, longer wordings before shorter of the same rank."""
-        own, data = words(block), block.encode("utf-8", "surrogatepass")
+        """Every confirmed template of a block, in the order of its size reductions, longer wordings before shorter of the same
+        rank. The reduction of a finding is that of its own span."""
+        spans = [m.span() for m in _WORD.finditer(block)]
+        own = [block[a:b] for a, b in spans]
+        shared = [i for i, (_, _, fixed, _) in enumerate(self.templates) if fixed <= {*own}]
+        data = block.encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(data))
-        ranked = sorted(((alone - len(c.compress(data))) / alone, len(t), i) for i, (_, t, _, c) in enumerate(self.templates))[::-1]
         found = []
-        for k, (reduction, _, i) in enumerate(ranked):
-            if k >= self.ranked and reduction < self.least_reduction:
-                break
+        for _, _, i in sorted(((self.reduction(data, alone, i), len(self.templates[i][1]), i) for i in shared), reverse=True):
             name, template, fixed, _ = self.templates[i]
-            found += [Finding(name, reduction, not d, len(d), " ".join(d), at) for at, d in self.confirm(own, template, fixed)]
+            for at, d in self.confirm(own, template, fixed):
+                span = block[spans[at[0]][0] : spans[at[-1]][1]].encode("utf-8", "surrogatepass")
+                found.append(Finding(name, self.reduction(span, len(self.plain.compress(span)), i), not d, len(d), " ".join(d), at))
         return found
 
     def scan(self, block: str) -> Finding | None:
@@ -171,7 +182,7 @@ def scanner(**options) -> Scanner:
 
 def scan(df: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """One row per row of df: key, licenses (sorted identifiers), license (of the least differences), reduction, exact,
-    n_differences, differences, n_blocks (candidates).
+    n_differences, differences, n_blocks (windows).
 
     Null and empty texts, and those without a confirmed block, have no licenses and null in the rest. Rows stay where they
     are: no shuffle. options go to Scanner.
@@ -185,12 +196,14 @@ def scan(df: DataFrame, text: str = "text", key: str = "doc_id", **options) -> D
             rows = []
             for t in x.column(1).to_pylist():
                 blocks = list(by.blocks(t)) if t else []
-                for b in blocks:
+                found = []
+                for b, first in blocks:
                     if b not in kept:
                         if len(kept) > 20_000:
                             kept.clear()
-                        kept[b] = distinct(by.findings(b))
-                found = [f for b in blocks for f in (kept[b] if b in kept else distinct(by.findings(b)))]
+                        kept[b] = by.findings(b)
+                    found += [replace(f, at=tuple(first + i for i in f.at)) for f in kept[b]]
+                found = distinct(found)
                 top = best(found)
                 rows.append((top and top.license, sorted({f.license for f in found}), top and top.reduction, top and top.exact, top and top.n_differences, top and top.differences, len(blocks)))
             types = (pa.string(), pa.list_(pa.string()), pa.float64(), pa.bool_(), pa.int32(), pa.string(), pa.int32())
