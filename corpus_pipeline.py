@@ -20,20 +20,38 @@ LEAST_SCORE = 0.3
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the labelled languages stay; a missing label is filled in. Texts without letters go."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    judged = languages.predict(rows, languages.fit(docs), keep=("row",)).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"))  # so that rows without a doc_id are sampled too
+    judged = languages.predict(rows, languages.fit(docs.withColumn("_key", key), key="_key"), keep=("row",)).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return judged.select(*(F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else f"row.{c}" for c in docs.columns))
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with a unique, not null _row: doc_id, or a larger number of their own for rows without a doc_id or with one that is
+    met again. These rows (few or none, as a rule) are stored, and are the second table."""
+    repeated, _ = stored(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    largest = docs.agg(F.coalesce(F.max("doc_id").cast("bigint"), F.lit(0))).first()[0]
+    odd = docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).union(docs.filter("doc_id is null"))
+    odd, _ = stored(odd.withColumn("_row", F.monotonically_increasing_id() + F.lit(largest + 1)))
+    even = docs.filter("doc_id is not null").join(repeated, "doc_id", "left_anti").select(*docs.columns, F.col("doc_id").cast("bigint").alias("_row"))
+    return even.union(odd), odd
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest doc_id stays."""
-    kept = jaccard.similar_components(docs).filter("component_id = doc_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of near duplicates exactly one row stays: that of the smallest doc_id (rows without one come last, and a
+    digest of the row decides between those of one doc_id)."""
+    rows, odd = numbered(docs)
+    of_odd = odd.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(*docs.columns).alias("digest")).alias("rank"))
+    of_rest = F.struct(F.lit(False).alias("none"), F.col("_row").alias("id"), F.lit(0).cast("bigint").alias("digest"))
+    found = jaccard.similar_components(rows, key="_row").join(of_odd, "_row", "left").withColumn("rank", F.coalesce("rank", of_rest))
+    kept = found.groupBy("component_id").agg(F.min(F.struct("rank", "_row")).alias("first")).select("first._row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings of 200 and more that are met elsewhere are removed; documents of which nothing is left go."""
-    kept = suffixes.repeats(docs, with_text=True).filter("kept <> ''").select("doc_id", F.col("kept").alias("text"))
-    return docs.drop("text").join(kept, "doc_id").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    rows, _ = numbered(docs)
+    kept = suffixes.repeats(rows, key="_row", with_text=True).filter("kept <> ''").select("_row", F.col("kept").alias("text"))
+    return rows.drop("text").join(kept, "_row").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

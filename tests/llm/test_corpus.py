@@ -215,3 +215,17 @@ def test_pipeline(spark):
     assert sum(" ".join(f"p{i}" for i in range(70)) in t for t in texts.values()) == 0 and all(texts.values())
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, "").collect()
     assert {r.doc_id for r in packed} == {*texts}
+
+
+def test_pipeline_keeps_one_of_repeated_rows_and_null_keys(spark):
+    import corpus_pipeline
+
+    long, short, other, same = (" ".join(f"{w}{i}" for i in range(n)) for w, n in (("long", 80), ("short", 8), ("other", 80), ("same", 60)))
+    rows = [(1, long), (1, long), (2, short), (2, short), (None, other), (None, other), (None, same), (7, same), (8, "one two"), (8, "three four")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = stage(spark, docs, "")
+    want = [(1, long), (2, short), (7, same), (8, "one two"), (8, "three four"), (None, other)]
+    assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == sorted(want, key=str)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert sorted((r.doc_id for r in packed), key=str) == sorted((i for i, _ in want), key=str)
