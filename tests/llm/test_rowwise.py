@@ -125,6 +125,31 @@ def test_main_text(tag):
     assert html_text.main_text(PAGE.format(tag=tag)) == want
 
 
+_BODY = [f"Paragraph {i} goes on, and on; it says a little more, as a sentence does, and it ends here." for i in range(8)]
+
+
+@pytest.mark.parametrize("opened, closed", [("<div class='content has-sidebar'>", "</div>"), ("<article class='post category-legal'>", "</article>"), ("<main class='post has-comments'>", "</main>"), ("<form action=x><div>", "</div></form>"), ("<form><div id='page-notice'><article class='tag-ads'>", "</article></div></form>")])
+def test_marked_container_of_the_article(opened, closed):
+    comments = "<div class='comments'><p>Nice post, thanks.</p></div><div class='sidebar'><a href=x>More</a></div>"
+    body = "".join(f"<p>{t}</p>" for t in _BODY)
+    assert html_text.main_text(f"<body><nav>Home</nav>{opened}{body}{comments}{closed}<footer>me</footer></body>") == " ".join(_BODY)
+
+
+def test_marked_articles_and_long_comments():
+    posts = "".join(f"<article class='post tag-x'><p>{t}</p></article>" for t in _BODY)
+    assert html_text.main_text(f"<body>{posts}</body>") == " ".join(_BODY)
+    thread = "".join(f"<article class='comment'><p>{t}</p></article>" for t in _BODY)
+    assert html_text.main_text(f"<body><article><p>{_BODY[0]}</p><p>{_BODY[1]}</p></article><section>{thread}</section></body>") == " ".join(_BODY[:2])
+    inside = f"<body><main><p>{_BODY[0]}</p><div class='content has-sidebar'>{''.join(f'<p>{t}</p>' for t in _BODY[1:])}</div></main></body>"
+    assert html_text.main_text(inside) == " ".join(_BODY)
+
+
+def test_lead_beside_the_body():
+    body = "".join(f"<p>{t}</p>" for t in _BODY[1:])
+    page = f"<body><div class='top'><a href=x>Home</a></div><div class='lead'><p>{_BODY[0]}</p></div><div class='body'>{body}</div><div class='end'>Contact us</div></body>"
+    assert html_text.main_text(page) == " ".join(_BODY)
+
+
 def test_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").withColumn("text", F.lit("clash"))
     import html as H

@@ -2,7 +2,9 @@
 
 Text blocks are grouped by their root-to-leaf tag path. Each path gets its text length and its punctuation per block;
 both ratios are smoothed over the page's blocks, fused by their product and cut at a share of their spread. The blocks
-above it say which element holds the article; the article is all of that element's blocks but for boilerplate elements.
+above it say which element holds the article; the article is all of that element's blocks but for boilerplate elements, and,
+where no element is named as the article, the blocks elsewhere whose own path is above the cut. Marks of boilerplate in names
+are evidence: elements that hold most of the high-scoring text are none.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from tidemark.llm.common import batches, bounded_batches, extended
 #: HTML element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-DROPPED = frozenset("head nav footer aside form script style noscript iframe object applet svg math button select textarea template dialog menu canvas audio video map".split())
+DROPPED = frozenset("head nav footer aside script style noscript iframe object applet svg math button select textarea template dialog menu canvas audio video map".split())
 RAW = frozenset("script style noscript iframe textarea title template".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
@@ -43,6 +45,7 @@ class Element:
     label: str
     parent: Element | None
     dropped: bool
+    marked: bool  # its own name says boilerplate
     depth: int
 
 
@@ -53,23 +56,23 @@ class Block:
     linked: int
 
 
-def _attributes(raw: str) -> tuple[str, bool]:
-    """The first class, and whether the element is marked as boilerplate or hidden."""
-    label, dropped = "", False
+def _attributes(raw: str) -> tuple[str, bool, bool]:
+    """The first class, and whether the element is marked as boilerplate, and hidden."""
+    label, marked, hidden = "", False, False
     for name, value in _NAMED.findall(raw):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "class" and value.split():
             label = "." + value.split()[0]
         if name in ("class", "id", "role"):
-            dropped |= any(w in MARKS for w in _WORDS.findall(value))
+            marked |= any(w in MARKS for w in _WORDS.findall(value))
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            dropped = True
-    return label, dropped
+            hidden = True
+    return label, marked, hidden
 
 
 def blocks(page: str) -> list[Block]:
     """The page's non-empty text blocks in order, white space and character references resolved, boilerplate included."""
-    root = Element("", "", None, False, 0)
+    root = Element("", "", None, False, False, 0)
     now, out, run, linked, links, at = root, [], [], 0, 0, 0
 
     def flush() -> None:
@@ -136,12 +139,13 @@ def blocks(page: str) -> list[Block]:
             run.append(" ")
         if tag in VOID or raw.endswith("/") and tag in ("svg", "path"):
             continue
-        label, dropped = _attributes(raw) if raw else ("", False)
+        label, marked, hidden = _attributes(raw) if raw else ("", False, False)
         inside = now
         while inside is not root and inside.tag not in ("article", "main"):
             inside = inside.parent
-        dropped = now.dropped or tag in DROPPED or dropped and tag not in ("html", "body") or tag == "header" and inside is root
-        now = Element(tag, label, now, dropped, now.depth + 1)
+        page_wide = tag in ("html", "body")
+        dropped = now.dropped or tag in DROPPED or hidden and not page_wide or tag == "header" and inside is root
+        now = Element(tag, label, now, dropped, (marked or tag == "form") and not page_wide, now.depth + 1)
         links += tag == "a"
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
@@ -164,8 +168,9 @@ def path(element: Element) -> str:
     return "/".join(reversed(parts))
 
 
-def path_scores(found: list[Block]) -> np.ndarray:
-    """The fused ratio of each block: smoothed text length a block of its path, by smoothed punctuation a block of its path."""
+def path_scores(found: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    """The fused ratio of each block, text length a block of its path by punctuation a block of its path: both smoothed over
+    the blocks, and as they are."""
     stats: dict[str, list[int]] = {}
     paths = [path(b.at) for b in found]
     for p, b in zip(paths, found):
@@ -175,16 +180,52 @@ def path_scores(found: list[Block]) -> np.ndarray:
         s[2] += 1
     lengths = np.array([stats[p][0] / stats[p][2] for p in paths], float)
     marks = np.array([stats[p][1] / stats[p][2] for p in paths], float)
-    return _smoothed(lengths) * _smoothed(marks + 0.1)
+    return _smoothed(lengths) * _smoothed(marks + 0.1), lengths * (marks + 0.1)
+
+
+def _above(element: Element | None) -> Iterator[Element]:
+    while element is not None:
+        yield element
+        element = element.parent
+
+
+def unmarked(found: list[Block], spread: float) -> list[Block]:
+    """The blocks outside boilerplate by its names. Elements of one path that hold most of the page's high-scoring text are not
+    boilerplate, unless an unmarked article or main beside them holds a tenth of it, or one around them a third besides theirs."""
+    if not any(e.marked for b in found for e in _above(b.at)):
+        return found
+    scores, _ = path_scores(found)
+    cut = min(spread * scores.std(), scores.max())
+    seeds = [(b, [*_above(b.at)], len(b.text) - b.linked) for b, s in zip(found, scores) if s >= cut]
+    total = sum(n for *_, n in seeds)
+    under: dict[str, int] = {}
+    around: dict[str, set[int]] = {}
+    for _, above, n in seeds:
+        for p in {path(e) for e in above if e.marked}:
+            under[p] = under.get(p, 0) + n
+            around.setdefault(p, set()).update(id(e) for e in above)
+
+    def named(p: str) -> int:
+        """Ten times the text of articles beside the elements of p and thrice that of articles around them, theirs left out."""
+        n_all = 0
+        for _, above, n in seeds:
+            holders = [e for e in above if e.tag in ("article", "main")]
+            if holders and not any(e.marked for e in above):
+                n_all += (3 if all(id(e) in around[p] for e in holders) else 10) * n
+        return n_all
+
+    spared = {p for p, n in under.items() if 2 * n > total and named(p) < total}
+    return [b for b in found if not any(e.marked and path(e) not in spared for e in _above(b.at))]
 
 
 def main_text(page: str | None, spread: float = 0.5) -> str:
     """The article of a page: its blocks joined by one blank. Empty without text outside boilerplate."""
-    found = [b for b in blocks(page) if not b.at.dropped] if page else []
+    found = unmarked([b for b in blocks(page) if not b.at.dropped], spread) if page else []
     if not found:
         return ""
-    scores = path_scores(found)
-    seeds = scores >= min(spread * scores.std(), scores.max())
+    scores, own = path_scores(found)
+    cut = min(spread * scores.std(), scores.max())
+    seeds = scores >= cut
     weights = np.array([len(b.text) for b in found], float) * seeds
     under: dict[int, float] = {}
     elements: dict[int, Element] = {}
@@ -225,7 +266,12 @@ def main_text(page: str | None, spread: float = 0.5) -> str:
             e = e.parent
         return False
 
-    return " ".join(b.text for b, s in zip(found, seeds) if within(b.at) and (explicit or s or b.linked < 0.6 * len(b.text)))
+    def taken(b: Block, seed: bool, alone: float) -> bool:
+        if within(b.at):
+            return explicit or seed or b.linked < 0.6 * len(b.text)
+        return not explicit and alone >= cut and b.linked < 0.6 * len(b.text)
+
+    return " ".join(b.text for b, s, o in zip(found, seeds, own) if taken(b, s, o))
 
 
 def extract(df: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
