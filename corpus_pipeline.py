@@ -13,15 +13,20 @@ from tidemark.llm import jaccard, languages, packing, suffixes
 from tidemark.llm.common import stored
 from tidemark.llm.queries import TOKENIZER, table
 
-#: Below this score, near that of an even guess among four languages, a text counts as being in none of them.
-LEAST_SCORE = 0.3
+#: Below this score a text counts as being in none of the languages: LEAST_LEAD times that of an even guess, at most LEAST_SCORE.
+LEAST_SCORE, LEAST_LEAD = 0.3, 1.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the labelled languages stay; a missing label is filled in. Texts without letters go."""
+    """Documents in one of the labelled languages stay; a missing label is filled in. Texts without letters go.
+    Without any label there is nothing to judge by, and all other texts stay."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
     key = F.coalesce(F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"))  # so that rows without a doc_id are sampled too
-    judged = languages.predict(rows, languages.fit(docs.withColumn("_key", key), key="_key"), keep=("row",)).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    model = languages.fit(docs.withColumn("_key", key), key="_key")
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    least = min(LEAST_SCORE, LEAST_LEAD / len(model.languages))
+    judged = languages.predict(rows, model, keep=("row",)).filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
     return judged.select(*(F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else f"row.{c}" for c in docs.columns))
 
 

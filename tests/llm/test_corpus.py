@@ -229,3 +229,17 @@ def test_pipeline_keeps_one_of_repeated_rows_and_null_keys(spark):
     assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == sorted(want, key=str)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
     assert sorted((r.doc_id for r in packed), key=str) == sorted((i for i, _ in want), key=str)
+
+
+def test_pipeline_judges_by_the_number_of_languages(spark, monkeypatch):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in enumerate(["a text", "123 !?", "漢字"])], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert [r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").orderBy("doc_id").collect()] == [0, 2]
+
+    class Ten:
+        languages = list("abcdefghij")
+
+    monkeypatch.setattr(corpus_pipeline.languages, "fit", lambda *a, **k: Ten())
+    monkeypatch.setattr(corpus_pipeline.languages, "predict", lambda rows, model, keep: rows.select("row", F.lit("a").alias("lang_pred"), F.when(F.col("row.doc_id") == 1, 0.11).otherwise(0.2).alias("score")))
+    assert [r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").orderBy("doc_id").collect()] == [0, 2]
