@@ -123,34 +123,59 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length", [200])
-def test_suffixes(spark, length, monkeypatch):
-    monkeypatch.setattr(suffixes, "PACK", 6000)  # several packs, and segments that are cut
-    rows = documents(spark)
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def odd_texts():
     random.seed(6)
     base = "".join(random.choice("abcde é\n\x00ÿ") for _ in range(2000))
     odd = ["a" * 199, "a" * 200, "a" * 201, "a" * 9000, base, base[:199], base[100:300], base[5:205] + "X" + base[205:404], base[1000:1250] * 3]
-    rows += list(enumerate(odd, 4000))
+    for n in (64, 128, 1024, 4096):  # strings that polynomial hashes modulo 2**64 take for each other
+        odd += [f"{n}{thue_morse(n)}{n + 1}" + "y" * 150, f"{n + 2}{thue_morse(n, 'ba')}{n + 3}" + "z" * 150]
+    return odd
+
+
+@pytest.mark.parametrize(("length", "heavy", "pack"), [(200, 2048, 60_000), (200, 3, 6000), (40, 5, 500)])
+def test_suffixes(spark, length, heavy, pack, monkeypatch):
+    spans = suffixes.repeated_spans
+    monkeypatch.setattr(suffixes, "repeated_spans", lambda texts, length: spans(texts, length, heavy=heavy, pack=pack))
+    rows = documents(spark) + list(enumerate(odd_texts(), 4000))
     got = {r.doc_id: tuple(r)[1:] for r in suffixes.repeats(table(spark, rows), length=length).collect()}
     assert got == brute_repeats({i: (t or "").encode() for i, t in rows}, length)
     assert suffixes.repeats(table(spark, []), length=length).collect() == []
 
 
-def test_suffix_merge_is_lexicographic():
-    """The merged order of one bucket is that of the suffixes themselves."""
+def test_suffixes_of_rows_without_a_key_and_repeated_keys(spark):
+    long, other = (" ".join(f"{w}{i}" for i in range(90)) for w in ("long", "other"))
+    rows = [(None, long), (None, "x" + long), (1, other), (1, other), (2, "2" * 150 + other[:250]), (2, "short"), (3, None)]
+    got = suffixes.repeats(table(spark, rows), with_text=True).collect()
+    want = brute_repeats({k: (t or "").encode() for k, (_, t) in enumerate(rows)}, 200)
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == sorted(((i, *want[k]) for k, (i, _) in enumerate(rows)), key=str)
+
+
+def test_suffix_order_and_hits_of_random_contexts():
     random.seed(7)
-    text = np.frombuffer(bytes(random.choice(b"ab") for _ in range(300)), np.uint8)
-    pack = suffixes.Pack(suffixes._dump(np.array([1]), np.array([0]), np.array([len(text)]), text))
-    suffix = {i: text[i:].tobytes() for i in range(len(text))}
-    sample = np.flatnonzero(pack.ranked(1, 1))
-    ranks = np.empty(len(sample), np.int64)
-    for k, p in enumerate(sorted(sample.tolist(), key=suffix.get)):
-        ranks[np.searchsorted(sample, p)] = k + 1
-    places, inverse, order, _, columns = suffixes._records(pack, 0, False, None, ranks, np.zeros(0, np.uint64), 1)
-    solved = suffixes._merged(*columns[:5])
-    first = {int(u): int(places[i]) for i, u in reversed(list(enumerate(inverse)))}
-    got = [first[int(order[i])] for i in solved]
-    assert got == sorted(range(len(text)), key=suffix.get)
+    for _ in range(60):
+        length = random.choice([8, 9, 24, 30, 73, 200])
+        base = bytes(random.choice(b"ab") if random.random() < 0.8 else random.choice(b"abcdef\x00") for _ in range(600))
+        parts = []
+        for _ in range(random.randint(1, 25)):
+            n = random.randint(1, 60)
+            a = random.randint(0, 600 - n - length)
+            part = bytearray(base[a : a + n + length - 1])
+            if random.random() < 0.7:
+                part[random.randrange(len(part))] = random.choice(b"abz\x00")
+            parts.append(bytes(part))
+        data, sizes = np.frombuffer(b"".join(parts), np.uint8), np.array([len(p) for p in parts])
+        begin = np.cumsum(sizes) - sizes
+        context = np.repeat(np.arange(len(sizes)), sizes)
+        starts = {int(b) + i: p[i : i + length] for b, p in zip(begin, parts) for i in range(len(p) - length + 1)}
+        order, _ = suffixes.suffix_order(data, np.arange(len(data)) - begin[context], (sizes - length + 1)[context], length)
+        assert [starts[i] for i in order.tolist()] == sorted(starts.values()) and set(order.tolist()) == set(starts)
+        counts = collections.Counter(starts.values())
+        want = sorted(i for i, t in starts.items() if counts[t] > 1)
+        assert suffixes.repeated_starts(data, sizes, sizes - length + 1, np.ones(len(sizes), int), length).tolist() == want
 
 
 def test_packing(spark):

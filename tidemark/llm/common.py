@@ -5,14 +5,16 @@ Nulls in a text column count as empty texts everywhere in this package.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Limits of one Arrow batch handed to Python: rows, and bytes (one row may be longer than that).
@@ -21,36 +23,83 @@ BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession, n_bytes: int = BATCH_BYTES) -> None:
-    """Cut Arrow batches by bytes too, as texts differ in length by orders of magnitude."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(n_bytes))
+    """Cut Arrow batches by bytes too, as texts differ in length by orders of magnitude; a caller's own setting stays."""
+    known = spark._jsparkSession.sessionState().conf()
+    for name, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", n_bytes)):
+        if not known.contains(f"spark.sql.execution.arrow.{name}"):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only in local mode, where it may be unset, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+@contextlib.contextmanager
+def without_shuffle_files(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries run inside go when the query ends: each is run once."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """Write df to the shared folder; return it reread, with a cut lineage, and its path."""
+    """Write df to the shared folder; return it reread, with a cut lineage, and its path.
+
+    The table goes when removed() is called, or with the application: results that a caller reads later stay until then.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of plans that are done
-    time.sleep(0.3)
-    df.write.option("compression", "zstd").parquet(path)
+    if not _LEFT:
+        atexit.register(_clear)
+    _LEFT[path] = spark
+    with without_shuffle_files(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Tables that are still there, and their sessions.
+_LEFT: dict[str, SparkSession] = {}
+
+
+def _clear() -> None:
+    """Delete what is left when the driver ends; the JVM may be gone by then."""
+    with contextlib.suppress(Exception):
+        for path, spark in list(_LEFT.items()):
+            removed(spark, path)
+
+
 def removed(spark: SparkSession, *paths: str) -> None:
     """Delete tables made by stored() that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    for path in paths:
+    jvm = spark._jvm
+    for path in filter(None, paths):
         at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        _LEFT.pop(path, None)
+
+
+def numbered(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """df with a unique, not null _row (bigint): the key, or a larger number of their own for rows without a key or with one
+    that is met again. These rows (few or none, as a rule) are stored, and are the second table; None: there are none."""
+    repeated, _ = stored(df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key))
+    odd = df.join(repeated, key, "left_semi").select(*df.columns).union(df.filter(F.col(key).isNull()))
+    largest = df.agg(F.coalesce(F.max(key).cast("bigint"), F.lit(0))).first()[0]
+    odd, path = stored(odd.withColumn("_row", F.monotonically_increasing_id() + F.lit(max(largest, -1) + 1)))
+    if odd.isEmpty():
+        removed(df.sparkSession, path)
+        return df.withColumn("_row", F.col(key).cast("bigint")), None
+    even = df.filter(F.col(key).isNotNull()).join(repeated, key, "left_anti").select(*df.columns, F.col(key).cast("bigint").alias("_row"))
+    return even.union(odd), odd
 
 
 def extended(schema: StructType, more: str) -> StructType:

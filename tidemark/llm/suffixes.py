@@ -1,20 +1,20 @@
 """Removal of repeated byte strings by a distributed difference-cover suffix sort.
 
-Exact copies of a text are one class, and only where a string can be repeated is there anything to sort: every string of
-`length` bytes has a fingerprint chosen by its content alone (the least hash of its windows), and a string whose
-fingerprint is met nowhere else is unique. What is left of a text are segments, kept in packs of bounded
-size; texts that share fingerprints lie in the same pack where that is possible, as a pack sends equal records once.
-
-The suffixes of all segments are then sorted by the difference-cover algorithm for triples. Positions whose index has
-only non-zero base-3 digits up to digit k are the sample of level k. Going down, triples of level-k names, 3**k bytes
-apart, are sorted to give the names of level k + 1, until a name covers `length` bytes; the first triples, of bytes, need
-no sorting, as they are their own names. Going up, the remaining third of each level is merged with the sample below it,
-by comparing one name, or two, and a rank. On the last level neighbours in the sorted order compare their prefixes of
-`length` bytes, by 64-bit hashes.
-
-All levels share one range partitioning, by the first eight bytes of a suffix, with splitters from a bounded sample of
-all packs; ranks carry their bucket in front, so that buckets are sorted without knowing each other's sizes. Names and
-ranks travel as packed arrays. Each level is written to the shared folder before the next one begins.
+Every string of `length` bytes has a fingerprint that its content alone chooses: the least hash of its windows. Starts that
+follow each other and have one fingerprint are a context; a context's bytes hold all its strings. Equal strings have equal
+fingerprints, so that a string whose fingerprint is met once is unique, equal contexts are one entry with a count (digests
+of 63 bits tell those of a fingerprint apart), and the suffixes of the rest can be dealt to tasks by fingerprint: no string has a partner in another task's share.
+
+A task sorts the suffixes of its contexts by the difference-cover algorithm for triples, over eight-byte characters, so
+that eight interleaved texts are sorted at once. The sample of level k are the positions whose index has only non-zero
+base-3 digits up to digit k. Going down, triples of level-k names, 8 * 3**k bytes apart, are sorted to give the names of
+level k + 1, until a name covers `length` bytes. Going up, the remaining third of each level is merged with the sorted
+sample below it, by comparing one name and a rank, or two and a rank. Neighbours in the final order compare their prefixes
+of `length` bytes, byte by byte.
+
+Memory of a task is bounded by PACK and HEAVY, whatever a partition holds. A fingerprint with more than HEAVY different
+contexts (a frequent line in ever other surroundings) is split by the whole string instead: each of its strings is a
+context of its own, told apart by a 128-bit digest and counted with partial aggregation, so that no task has the group.
 """
 
 from __future__ import annotations
@@ -23,372 +23,286 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BYTE_VALUES, batches, bounded_batches, flat_bytes, groups_of, prefix_sums, removed, span_hashes, stored
+from tidemark.llm.common import BYTE_VALUES, batches, bounded_batches, flat_bytes, numbered, powers, prefix_sums, ranges, removed, mixed, stored
 
-#: Bytes of a pack, about; a segment of more starts than this is cut.
-PACK = 1 << 20
-#: Keys that all packs together give to the choice of splitters.
-SAMPLE = 100_000
+#: Bytes that a task sorts at once, about: small enough for the processor's cache, and for a name or two beside an index in 64 bits.
+PACK = 60_000
+#: Different contexts of a fingerprint that are sorted together: less than 2**20 bytes, so that three names have 63 bits at most.
+HEAVY = 2048
+#: Bytes of a character, and of the windows that fingerprints hash.
+CHAR, WIDTH = 8, 64
 
 
-def fingerprints(data: np.ndarray, length: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each string of `length` bytes of one text: the least hash of its windows of `width` bytes."""
+def _windows(data: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all windows of a text."""
+    m = len(data) - width + 1
     sums = prefix_sums(BYTE_VALUES[data])
-    i = np.arange(len(data) - width + 1)
-    hashes = span_hashes(sums, i, i + width)
-    span, m = length - width + 1, len(hashes)
-    rows = np.full((-(-m // span), span), np.uint64(0xFFFFFFFFFFFFFFFF))
-    rows.ravel()[:m] = hashes
-    ahead = np.minimum.accumulate(rows, axis=1).ravel()
-    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    j = np.arange(m - span + 1)
-    return np.minimum(behind[j], ahead[j + span - 1]), hashes
-
-
-def _chosen(data: np.ndarray, length: int, width: int) -> np.ndarray:
-    """Hashes of a text's fingerprints, repeated ones as often as they are."""
-    least, hashes = fingerprints(data, length, width)
-    some = np.unique(least)
-    return hashes[some[np.minimum(np.searchsorted(some, hashes), len(some) - 1)] == hashes]
-
-
-def _squeezed(a: np.ndarray) -> bytes:
-    """An array's bytes, plane by plane, compressed: names and ranks have few bytes that differ, and copies repeat them."""
-    a = np.ascontiguousarray(a)
-    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
-
-
-def _stretched(data: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(size, -1).T).reshape(-1).view(kind) if len(planes) else np.zeros(0, kind)
-
-
-def _steps(a: np.ndarray) -> np.ndarray:
-    """Zigzag differences of neighbours."""
-    d = np.diff(a, prepend=0)
-    return d << 1 ^ d >> 63
-
-
-def _sums(a: np.ndarray) -> np.ndarray:
-    u = a.view(np.uint64)
-    return np.cumsum((u >> np.uint64(1)).view(np.int64) ^ -(a & 1))
-
-
-def _dump(*arrays: np.ndarray) -> bytes:
-    parts = [_squeezed(a) for a in arrays]
-    return b"".join([np.array([len(p) for p in parts], np.int64).tobytes(), *parts])
-
-
-def _load(data: bytes, *kinds) -> list[np.ndarray]:
-    sizes = np.frombuffer(data, np.int64, len(kinds))
-    out, at = [], 8 * len(kinds)
-    for n, kind in zip(sizes.tolist(), kinds):
-        out.append(_stretched(data[at : at + n], kind))
-        at += n
-    return out
-
-
-class Pack:
-    """Segments back to back. All arrays are by position."""
-
-    def __init__(self, blob: bytes):
-        self.doc, self.offset, self.size, self.data = _load(blob, np.int64, np.int64, np.int64, np.uint8)
-        ends = np.cumsum(self.size)
-        self.n = len(self.data)
-        self.end = np.repeat(ends, self.size)
-        self.index = np.arange(self.n) - np.repeat(ends - self.size, self.size)
-        self.room = self.end - np.arange(self.n)
-
-    def ahead(self, values: np.ndarray, by: int) -> np.ndarray:
-        """values `by` positions on; 0 beyond a segment's end."""
-        out = np.zeros(self.n, values.dtype)
-        if by < self.n:
-            out[: self.n - by] = values[by:]
-        out[self.room <= by] = 0
-        return out
-
-    def level(self, k: int) -> np.ndarray:
-        """Whether a position is in the sample of level k."""
-        out = np.ones(self.n, bool)
-        for i in range(k):
-            out &= self.index // 3**i % 3 != 0
-        return out
-
-    def ranked(self, k: int, length: int) -> np.ndarray:
-        """Whether a position needs its rank on level k: starts of whole strings do, and what their merging asks for below."""
-        return self.level(k) & (self.room > length - 3**k)
-
-    def first_names(self, k: int) -> np.ndarray:
-        own = self.data.astype(np.int64) + 1
-        return own if k == 0 else own << 18 | self.ahead(own, 1) << 9 | self.ahead(own, 2)
-
-    def front(self, places: np.ndarray) -> np.ndarray:
-        """The first eight bytes at places as a number, zeros beyond a segment's end."""
-        room, out = self.room[places], np.zeros(len(places), np.uint64)
-        for i in range(8):
-            byte = self.data[np.minimum(places + i, self.n - 1)].astype(np.uint64)
-            byte[room <= i] = 0
-            out = out << np.uint64(8) | byte
-        return out
-
-    def windows(self, length: int) -> np.ndarray:
-        """Hashes of the next `length` bytes; 0 where fewer are left."""
-        at = np.arange(self.n)
-        out, whole = np.zeros(self.n, np.uint64), at + length <= self.end
-        out[whole] = span_hashes(prefix_sums(BYTE_VALUES[self.data]), at[whole], at[whole] + length) | np.uint64(1)
-        return out
-
-
-def _spread(own: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n, own.dtype)
-    out[places] = own
+    return mixed((sums[width:] - sums[:m]) * powers(m)[0])
+
+
+def _least(hashes: np.ndarray, span: int) -> np.ndarray:
+    """The least of every `span` neighbours."""
+    n, size = len(hashes) - span + 1, 1
+    while 2 * size <= span:
+        hashes = np.minimum(hashes[:-size], hashes[size:])
+        size *= 2
+    return np.minimum(hashes[:n], hashes[span - size : span - size + n])
+
+
+def contexts(data: np.ndarray, length: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprint, first start and number of starts of a text's contexts, in order, and whether the fingerprint's window is
+    met again in the text, as it is where a context itself repeats a string. A context has bounded size."""
+    span = length - width + 1
+    hashes = _windows(data, width)
+    least = _least(hashes, span)
+    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    n = np.diff(np.append(first, len(least)))
+    low = np.sort(hashes[hashes <= least[first].max()])
+    twice = low[1:][low[1:] == low[:-1]]
+    if n.max() > span:  # periodic text
+        parts = -(-n // span)
+        inside = ranges(np.zeros(len(n), np.int64), parts)
+        first = np.repeat(first, parts) + inside * span
+        n = np.minimum(span, np.repeat(n, parts) - inside * span)
+    fp = least[first]
+    return fp, first, n, np.isin(fp, twice) if len(twice) else np.zeros(len(fp), bool)
+
+
+def _digest(data: bytes, size: int) -> bytes:
+    return hashlib.blake2b(data, digest_size=size).digest()
+
+
+def _sorted(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys (of so many bits) and the sorted keys; where there is room, the index rides in the key, as sorting
+    plain numbers is several times faster."""
+    own = max(1, int(len(keys) - 1).bit_length())
+    if bits + own <= 64:
+        both = np.sort(keys << np.uint64(own) | np.arange(len(keys), dtype=np.uint64))
+        return (both & np.uint64((1 << own) - 1)).astype(np.int64), both >> np.uint64(own)
+    order = np.argsort(keys)
+    return order, keys[order]
+
+
+def _dense(keys: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
+    """Ranks from 1, equal keys having equal ranks, and the bits of the largest."""
+    order, ahead = _sorted(keys, bits)
+    new = np.ones(len(keys), np.uint64)
+    new[1:] = ahead[1:] != ahead[:-1]
+    new = np.cumsum(new)
+    out = np.empty(len(keys), np.uint64)
+    out[order] = new
+    return out, int(new[-1]).bit_length() if len(new) else 1
+
+
+def _joined(bits: int, *parts: np.ndarray) -> np.ndarray:
+    """Numbers of so many bits in one, the most significant first."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out << np.uint64(bits) | p
     return out
 
 
-def _records(pack: Pack, k: int, down: bool, names: np.ndarray | None, ranks: np.ndarray | None, splitters: np.ndarray, length: int):
-    """What a pack asks at a level: (places, unique records' order, inverse, buckets, columns).
+def _merged(rest: np.ndarray, sample: np.ndarray, step: int, names: np.ndarray, ranks: np.ndarray, bits: int) -> np.ndarray:
+    """A level's positions in the order of their suffixes: rest, of digit 0, merged into the sorted sample.
 
-    down: triples of level-k names of the sample of level k + 1. Otherwise, of the ranked sample of level k: the digit, two
-    names, two ranks of level k + 1, and on level 0 the hash of the next `length` bytes. Records are sorted within a bucket.
+    names of the level and unique ranks of its sample are by position, of so many bits, with zeros behind the text. A
+    position of rest goes behind those of digit 1 and of digit 2 that are less.
     """
-    step = 3**k
-    name = pack.first_names(k) if k < 2 else _spread(names, np.flatnonzero(pack.level(k)), pack.n)
-    if down:
-        places = np.flatnonzero(pack.level(k + 1))
-        columns = [name[places], pack.ahead(name, step)[places], pack.ahead(name, 2 * step)[places]]
-    else:
-        places = np.flatnonzero(pack.ranked(k, length))
-        rank = _spread(ranks, np.flatnonzero(pack.ranked(k + 1, length)), pack.n)
-        digit = (pack.index // step % 3)[places]
-        one, two = pack.ahead(rank, step)[places], pack.ahead(rank, 2 * step)[places]
-        columns = [digit, name[places], pack.ahead(name, step)[places], np.where(digit == 0, one, rank[places]), np.where(digit == 1, one, two)]
-        if k == 0:
-            columns.append(pack.windows(length)[places].view(np.int64))
-    whole = np.zeros(len(places), np.uint64)
-    with np.errstate(over="ignore"):
-        for c in columns:
-            whole = (whole + c.view(np.uint64)) * np.uint64(0x9FB21C651E98DF25)
-            whole ^= whole >> np.uint64(29)
-    inverse, distinct = pd.factorize(whole)
-    first = np.empty(len(distinct), np.int64)
-    first[inverse[::-1]] = np.arange(len(whole) - 1, -1, -1)
-    buckets = np.searchsorted(splitters, pack.front(places[first]), side="right")
-    own = [c[first] for c in columns]
-    order = np.lexsort([*([own[2], own[1], own[0]] if down else [own[3], own[1], own[0]]), buckets])
-    if not down and k == 0:
-        columns.append(_spread(np.bincount(inverse, minlength=len(first)), first, len(places)))
-    return places, inverse, order, buckets[order], [c[first[order]] for c in columns]
-
-
-def _dense(keys: list[np.ndarray]) -> np.ndarray:
-    """Ranks from 1 of rows by the keys, the first one being the most significant; equal rows have equal ranks."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), np.int64)
-    for k in keys:
-        new[1:] |= k[order][1:] != k[order][:-1]
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new) + 1
+    digit = sample // step % 3
+    one, two = sample[digit == 1], sample[digit == 2]
+    order, near = _sorted(_joined(bits, names[rest], ranks[rest + step]), 2 * bits)
+    rest = rest[order]
+    place = np.searchsorted(np.sort(_joined(bits, names[one], ranks[one + step])), near)
+    far = lambda p: _joined(bits, names[p], names[p + step], ranks[p + 2 * step])
+    place += np.searchsorted(np.sort(far(two)), far(rest))
+    place = np.maximum.accumulate(place) + np.arange(len(rest))
+    out = np.empty(len(rest) + len(sample), np.int64)
+    free = np.ones(len(out), bool)
+    free[place] = False
+    out[place] = rest
+    out[free] = sample
     return out
 
 
-def _below(sample: list[np.ndarray], rest: list[np.ndarray]) -> np.ndarray:
-    """Of each row of rest, how many sample rows are less, by the keys."""
-    n = len(rest[0])
-    order = np.lexsort([np.repeat([0, 1], [n, len(sample[0])]), *(np.concatenate([b, a]) for a, b in zip(sample[::-1], rest[::-1]))])
-    less = np.cumsum(order >= n)
-    out = np.empty(n, np.int64)
-    mine = order < n
-    out[order[mine]] = less[mine]
-    return out
-
-
-def _merged(digit: np.ndarray, n0: np.ndarray, n1: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The order of all suffixes of a bucket: those of digit 0 are merged with the sorted sample."""
-    rest, mod1, mod2 = (np.flatnonzero(digit == d) for d in (0, 1, 2))
-    sample = np.concatenate([mod1, mod2])
-    place = np.zeros(len(digit), np.int64)
-    place[sample] = np.searchsorted(np.sort(x[sample]), x[sample])
-    place[rest] = _below([n0[mod1], y[mod1]], [n0[rest], x[rest]]) + _below([n0[mod2], n1[mod2], y[mod2]], [n0[rest], n1[rest], y[rest]])
-    return np.lexsort([x, np.where(digit == 0, n0, 0), digit != 0, place])
-
-
-def _solve(frames: Iterator[pa.RecordBatch], k: int, down: bool) -> Iterator[pa.RecordBatch]:
-    """The names, ranks or repeats of a bucket's records, back to their packs."""
-    kinds = [np.int64] * (3 if down else 7 if k == 0 else 5)
-    for g in groups_of(frames, 2):
-        parts = [[_sums(c) for c in _load(b.as_py(), *kinds)] for b in g.column("blob")]
-        sizes = [len(p[0]) for p in parts]
-        columns = [np.concatenate(c) for c in zip(*parts)]
-        bucket = g.column("bucket")[0].as_py()
-        if down:
-            answer = (bucket + 1 << 40) + _dense(columns)
-        else:
-            order = _merged(*columns[:5])
-            if k:
-                answer = np.empty(len(order), np.int64)
-                answer[order] = (bucket + 1 << 40) + np.arange(1, len(order) + 1)
-            else:
-                window, count = columns[5][order], columns[6][order]
-                same = (window[1:] == window[:-1]) & (window[1:] != 0)
-                hit = (count > 1) & (window != 0)
-                hit[1:] |= same
-                hit[:-1] |= same
-                answer = np.empty(len(order), np.int64)
-                answer[order] = hit
-        ends = np.cumsum(sizes)
-        blobs = [_squeezed(_steps(answer[e - s : e])) for s, e in zip(sizes, ends)]
-        yield pa.RecordBatch.from_arrays([g.column("pack").combine_chunks(), pa.array(np.full(len(blobs), 9, np.int32)), g.column("bucket").combine_chunks(), pa.array(blobs, pa.binary())], ["pack", "kind", "bucket", "blob"])
-
-
-_ROW = "pack bigint, kind int, bucket int, blob binary"
-
-
-def _level(base: DataFrame, k: int, down: bool, names: DataFrame | None, ranks: DataFrame | None, splitters, length: int) -> DataFrame:
-    """One level: packs ask, buckets answer, packs keep an array of answers (of the last level: hit starts of each text)."""
-
-    def read(g: pa.Table) -> tuple:
-        found: dict[int, list[bytes]] = {}
-        for kind, blob in zip(g.column("kind").to_pylist(), g.column("blob")):
-            found.setdefault(kind, []).append(blob.as_py())
-        own = [_stretched(found[i][0], np.int64) if i in found else None for i in (1, 2)]
-        pack = Pack(found[0][0])
-        return pack, _records(pack, k, down, *own, splitters.value, length), found.get(9, [])
-
-    def ask(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups_of(frames):
-            _, (_, _, _, buckets, columns), _ = read(g)
-            used, first = np.unique(buckets, return_index=True)
-            cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(buckets)]))
-            blobs = [_dump(*(_steps(c[a:b].astype(np.int64)) for c in columns)) for a, b in cuts]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), g.column("pack")[0].as_py(), np.int64)), pa.array(np.full(len(used), 8, np.int32)), pa.array(used.astype(np.int32)), pa.array(blobs, pa.binary())], ["pack", "kind", "bucket", "blob"])
-
-    def keep(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups_of(frames):
-            pack, (places, inverse, order, _, _), answers = read(g)
-            answer = np.empty(len(order), np.int64)
-            answer[order] = np.concatenate([_sums(_stretched(a, np.int64)) for a in answers])
-            yield pa.RecordBatch.from_arrays([g.column("pack").combine_chunks()[:1], pa.array([1 if down else 2], pa.int32()), pa.array([0], pa.int32()), pa.array([_squeezed(answer[inverse])], pa.binary())], ["pack", "kind", "bucket", "blob"])
-
-    def hits(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups_of(frames):
-            pack, (places, inverse, order, _, _), answers = read(g)
-            answer = np.empty(len(order), np.int64)
-            answer[order] = np.concatenate([_sums(_stretched(a, np.int64)) for a in answers])
-            hit = places[answer[inverse] != 0]
-            if not len(hit):
-                continue
-            segment = np.searchsorted(np.cumsum(pack.size), hit, side="right")
-            start = pack.offset[segment] + pack.index[hit]
-            cut = np.concatenate([[True], (np.diff(start) != 1) | (np.diff(segment) != 0)])
-            first = np.flatnonzero(cut)
-            last = np.append(first[1:], len(hit)) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(pack.doc[segment[first]]), pa.array(start[first]), pa.array(start[last] + length)], ["id", "a", "b"])
-
-    state = base
-    for more in (names, ranks):
-        if more is not None:
-            state = state.union(more)
-    state = state.repartition("pack").sortWithinPartitions("pack", "kind", "bucket")
-    asked = state.mapInArrow(ask, _ROW).repartition("bucket").sortWithinPartitions("bucket", "pack")
-    answered = asked.mapInArrow(lambda f: _solve(f, k, down), _ROW)
-    whole = (state.union(answered)).repartition("pack").sortWithinPartitions("pack", "kind", "bucket")
-    return whole.mapInArrow(keep, _ROW) if down or k else whole.mapInArrow(hits, "id bigint, a bigint, b bigint")
-
-
-def _cut(data: np.ndarray, again: np.ndarray, length: int, width: int) -> list[tuple[int, int]]:
-    """The maximal runs [a, b) of starts whose fingerprint is in `again` (sorted)."""
-    least, _ = fingerprints(data, length, width)
-    good = again[np.minimum(np.searchsorted(again, least), len(again) - 1)] == least
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], good, [False]]).astype(np.int8)))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
-
-
-def repeated_spans(texts: DataFrame, texts_path: str, length: int = 200, width: int = 64) -> DataFrame:
-    """(id, a, b): the byte spans of distinct texts (id bigint, text binary) that strings met elsewhere cover; may touch or overlap.
-
-    texts must be a stored table; it is removed once the packs are written.
+def _characters(data: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """By position: the next CHAR bytes as a number, with `pad` zeros behind; the same in the alphabet of data, and its bits."""
+    padded = np.zeros(len(data) + CHAR + pad, np.uint8)
+    padded[: len(data)] = data
+    chars = np.ndarray((len(data) + pad,), ">u8", padded.data, 0, (1,)).astype(np.uint64)
+    used = np.zeros(256, bool)
+    used[padded] = True
+    width = max(1, int(used.sum() - 1).bit_length())
+    if width * CHAR + int(len(data)).bit_length() > 64:
+        return chars, chars[: len(data)], 64
+    codes = (np.cumsum(used) - 1).astype(np.uint64)[padded]
+    short = codes[: len(data)].copy()
+    for i in range(1, CHAR):
+        short = short << np.uint64(width) | codes[i : i + len(data)]
+    return chars, short, width * CHAR
+
+
+def suffix_order(data: np.ndarray, index: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """All starts in the order of their strings of `length` bytes, and the characters of data by position.
+
+    data: contexts back to back; index: a position's place in its context, size: how many starts its context has. What
+    comes behind a string decides nothing but the order of equal strings. Less than 2**21 bytes.
     """
+    n = len(data)
+    steps = [CHAR, 3 * CHAR]
+    while steps[-1] < length:
+        steps.append(3 * steps[-1])
+    pad = 3 * steps[-1]
+    chars, short, bits = _characters(data, pad)
+    most = max(1, n.bit_length())  # of a name or rank, at least
+
+    def spread(places: np.ndarray, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(n + pad, np.uint64)
+        out[places] = values
+        return out
+
+    places, names = [np.arange(n)], []
+    for step in [0, *steps[:-1]]:  # down: sort the sampled triples, and go on with their names
+        if step:
+            p = places[-1]
+            p = p[p // step % 3 != 0]
+            own, bits = names[-1], 3 * bits
+            short = _joined(bits // 3, own[p], own[p + step], own[p + 2 * step])
+            places.append(p)
+        short, bits = _dense(short, bits)
+        names.append(spread(places[-1], short))
+    # only what the level above asks for is merged: so many bytes behind the last start
+    ahead = [0]
+    for step in steps[:-1]:
+        ahead.append(ahead[-1] + 2 * step)
+    order = places[-1][_sorted(short, bits)[0]]
+    for k in range(len(steps) - 2, -1, -1):  # up: merge what is no sample
+        ranks = spread(order, np.arange(1, len(order) + 1, dtype=np.uint64))
+        p = places[k]
+        rest = p[(p // steps[k] % 3 == 0) & (index[p] < size[p] + ahead[k])]
+        order = _merged(rest, order[index[order] < size[order] + ahead[k]], steps[k], names[k], ranks, most)
+    return order, chars
+
+
+def repeated_starts(data: np.ndarray, sizes: np.ndarray, starts_of: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
+    """Positions of contexts back to back (bytes, starts, and copies of each) at which a repeated string begins, sorted."""
+    begin = np.cumsum(sizes) - sizes
+    context = np.repeat(np.arange(len(sizes)), sizes)
+    index = np.arange(len(data)) - begin[context]
+    starts = ranges(begin, starts_of)
+    order, chars = suffix_order(data, index, starts_of[context], length)
+    a, b = order[:-1], order[1:]
+    for at in [*range(0, length - CHAR, CHAR), length - CHAR]:  # adjacent prefixes, as bytes
+        same = chars[a + at] == chars[b + at]
+        a, b = a[same], b[same]
+    hit = np.zeros(len(data), bool)
+    hit[a] = hit[b] = True
+    hit[starts[counts[context[starts]] > 1]] = True
+    return np.flatnonzero(hit)
+
+
+def _solve(frames: Iterator[pa.RecordBatch], length: int, pack: int) -> Iterator[pa.RecordBatch]:
+    """(id, a, b) of the spans that repeated strings cover, from contexts (fp, id, a, n, k, bytes) sorted by fingerprint."""
+
+    def solved(table: pa.Table) -> pa.RecordBatch:
+        data, ends = flat_bytes(table.column("bytes"))
+        first, own, n, k = (table.column(c).to_numpy().astype(np.int64) for c in ("a", "id", "n", "k"))
+        hit = repeated_starts(data, np.diff(ends), n, k, length)
+        context = np.searchsorted(ends, hit, side="right") - 1
+        cut = np.flatnonzero(np.concatenate([np.ones(min(1, len(hit)), bool), (np.diff(hit) != 1) | (np.diff(context) != 0)]))
+        last = np.append(cut[1:], len(hit))[: len(cut)] - 1
+        start = first[context] + hit - ends[context]
+        return pa.RecordBatch.from_arrays([pa.array(own[context[cut]]), pa.array(start[cut].astype(np.int32)), pa.array((start[last] + length).astype(np.int32))], ["id", "a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for x in batches(frames):
+        keys = x.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        _, at = flat_bytes(x.column(5))
+        done, size = 0, sum(h.column(5).nbytes for h in held)
+        for a, b in zip(cuts, cuts[1:]):
+            new = a > 0 or not held or held[-1].column(0)[-1].as_py() != keys[0]
+            if new and size + int(at[a] - at[done]) > pack:
+                yield solved(pa.Table.from_batches([*held, x.slice(done, a - done)]))
+                held, size, done = [], 0, a
+        held.append(x.slice(done))
+    if held:
+        yield solved(pa.Table.from_batches(held))
+
+
+def repeated_spans(texts: DataFrame, length: int = 200, width: int = WIDTH, heavy: int = HEAVY, pack: int = PACK) -> DataFrame:
+    """(id, spans): of each text (id bigint unique, text binary) in which strings repeat, the sorted spans (a, b) that they
+    cover; spans may touch or overlap. A stored table."""
     spark = texts.sparkSession
+    width = min(width, length)
 
     def marks(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches(frames):
-            ids = x.column(0).to_numpy()
             data, starts = flat_bytes(x.column(1))
-            found = [_chosen(data[a:b], length, width) if b - a >= length else np.zeros(0, np.uint64) for a, b in zip(starts.tolist(), starts[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64)), pa.array(np.repeat(ids, [len(f) for f in found]))], ["h", "id"])
-
-    marked, marked_path = stored(texts.mapInArrow(marks, "h bigint, id bigint"))
-    again = marked.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    met, met_path = stored(marked.join(again, "h").groupBy("id").agg(F.collect_set("h").alias("again"), F.min("h").alias("lead")))
-    removed(spark, marked_path)
-    # texts that share their least repeated fingerprint go to one partition, in groups of a bounded number
-    groups = met.groupBy("lead").agg(F.ceil(F.count("*") / 256).cast("int").alias("parts"))
-    led = met.join(groups, "lead").select("id", "again", F.concat_ws("/", "lead", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("near"))
+            whole, found, digests, none = data.tobytes(), [], [], tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, bool))
+            for a, b in zip(starts.tolist(), starts[1:].tolist()):
+                own = contexts(data[a:b], length, width) if b - a >= length else none
+                first = a + own[1]
+                digests += [_digest(whole[i:j], 8) for i, j in zip(first.tolist(), (first + own[2] + length - 1).tolist())]
+                found.append(own)
+            fp, first, n, twice = (np.concatenate(c) for c in zip(*found))
+            ctx = np.frombuffer(b"".join(digests), np.uint64) >> np.uint64(1)
+            ctx = np.where(twice, ~ctx, ctx)  # negative: may repeat a string in itself
+            ends = pa.array(np.cumsum([0, *(len(f[0]) for f in found)]).astype(np.int32))
+            columns = [fp.view(np.int64), ctx.view(np.int64), first.astype(np.int32), n.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([x.column(0), *(pa.ListArray.from_arrays(ends, pa.array(c)) for c in columns)], ["id", "fp", "ctx", "a", "n"])
+
+    marked, marked_path = stored(texts.mapInArrow(marks, "id bigint, fp array<bigint>, ctx array<bigint>, a array<int>, n array<int>").filter("size(fp) > 0"))
+    each = marked.select("id", F.inline(F.arrays_zip("fp", "ctx", "a", "n")))
+    often = marked.select(F.inline(F.arrays_zip("fp", "ctx"))).groupBy("fp").agg(F.count("*").alias("t"), F.min("ctx").alias("low"), F.max("ctx").alias("high")).filter("t > 1 or low < 0")
+    again, again_path = stored(often.select("fp", F.expr("low < high or low < 0").alias("several")))
+    met, met_path = stored(each.join(again, "fp"))
+    removed(spark, marked_path, again_path)
+    # equal contexts are one entry: that of the smallest id, with their number
+    kinds, kinds_path = stored(met.filter("several").groupBy("fp", "ctx").agg(F.count("*").alias("k"), F.min("id").alias("id"), F.min_by("a", "id").alias("a"), F.max("n").alias("n")))
+    dense, dense_path = stored(kinds.groupBy("fp").agg(F.count("*").alias("d")).filter(F.col("d") > heavy).select("fp"))
+    some_heavy = not dense.isEmpty()
+
+    span = lambda a, n: F.struct(F.col(a).alias("a"), (F.col(a) + F.col(n) + F.lit(length - 1)).cast("int").alias("b"))
+    copied = met.filter("not several").select("id", span("a", "n").alias("s"))
+    copied = copied.union(met.filter("several").join(kinds.filter("k > 1").select("fp", "ctx"), ["fp", "ctx"], "left_semi").select("id", span("a", "n").alias("s")))
+
+    def with_bytes(entries: DataFrame, run, schema: str) -> DataFrame:
+        by_text = entries.groupBy("id").agg(F.collect_list(F.struct("fp", "a", "n", "k")).alias("e"))
+        return texts.join(by_text.hint("merge"), "id").select("id", "text", "e.fp", "e.a", "e.n", "e.k").mapInArrow(run, schema)
 
     def cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-        def pack() -> pa.RecordBatch:
-            nonlocal n, held, size
-            docs, offsets, parts = zip(*held)
-            blob = _dump(np.array(docs, np.int64), np.array(offsets, np.int64), np.array([len(p) for p in parts], np.int64), np.concatenate(parts))
-            row = pa.RecordBatch.from_arrays([pa.array([task << 32 | n], pa.int64()), pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([blob], pa.binary())], ["pack", "kind", "bucket", "blob"])
-            n, held, size = n + 1, [], 0
-            return row
-
         for x in batches(frames):
-            data, starts = flat_bytes(x.column(2))
-            for i, (again, a, b) in enumerate(zip(x.column(1), starts.tolist(), starts[1:].tolist())):
-                own = data[a:b]
-                for first, last in _cut(own, np.sort(again.values.to_numpy().view(np.uint64)), length, width):
-                    for at in range(first, last, PACK):
-                        piece = own[at : min(at + PACK, last) + length - 1]
-                        if held and size + len(piece) > PACK * 3 // 2:
-                            yield pack()
-                        held.append((x.column(0)[i].as_py(), at, piece))
-                        size += len(piece)
-        if held:
-            yield pack()
-
-    base, base_path = stored(led.join(texts, "id").select("near", "id", "again", F.col("text")).repartition("near").sortWithinPartitions("near", "id").select("id", "again", "text").mapInArrow(cut, _ROW))
-    removed(spark, met_path, texts_path)
-    packs = base.count()
-    if not packs:
-        return spark.createDataFrame([], "id bigint, a bigint, b bigint")
-    each = max(1, SAMPLE // packs)
-
-    def fronts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups_of(frames):
-            pack = Pack(g.column("blob")[0].as_py())
-            keys = np.unique(pack.front(np.arange(pack.n)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[np.unique(np.linspace(0, len(keys) - 1, each).astype(int))].view(np.int64))], ["k"])
-
-    sample = F.pmod(F.xxhash64("pack"), F.lit(max(1, packs // SAMPLE))) == 0
-    keys = np.sort(np.array([r[0] for r in base.filter(sample).mapInArrow(fronts, "k bigint").collect()], np.int64).view(np.uint64))
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    splitters = spark.sparkContext.broadcast(np.unique(keys[np.linspace(0, len(keys) - 1, buckets + 1).astype(int)[1:-1]]))
-    deepest = 1
-    while 3**deepest < length:
-        deepest += 1
-    names: dict[int, tuple] = {}
-    for k in range(1, deepest):
-        names[k + 1] = stored(_level(base, k, True, names[k][0] if k > 1 else None, None, splitters, length))
-    ranks, path = names.pop(deepest) if deepest > 1 else (None, "")
-    ranks = ranks.withColumn("kind", F.lit(2))
-    for k in range(deepest - 1, -1, -1):
-        after, after_path = stored(_level(base, k, False, names[k][0] if k > 1 else None, ranks, splitters, length))
-        removed(spark, path, *([names.pop(k)[1]] if k > 1 else []))
-        ranks, path = after, after_path
-    removed(spark, base_path)
-    return ranks
+            lists = [x.column(i) for i in range(2, 6)]
+            per_row = np.diff(lists[0].offsets.to_numpy())
+            fp, a, n, k = (c.flatten() for c in lists)
+            text = np.repeat(np.arange(x.num_rows), per_row)
+            data, starts = flat_bytes(x.column(1))
+            whole, first = data.tobytes(), starts[text] + a.to_numpy()
+            parts = [whole[i:j] for i, j in zip(first.tolist(), (first + n.to_numpy() + length - 1).tolist())]
+            yield pa.RecordBatch.from_arrays([fp, x.column(0).take(pa.array(text)), a, n, k, pa.array(parts, pa.binary())], ["fp", "id", "a", "n", "k", "bytes"])
+
+    def strings(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in cut(frames):
+            out = [(d, i, a + j, k) for i, a, n, k, b in zip(*(x.column(c).to_pylist() for c in range(1, 6))) for j in range(n) for d in [_digest(b[j : j + length], 16)]]
+            d, i, a, k = zip(*out)
+            h = np.frombuffer(b"".join(d), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(i, pa.int64()), pa.array(a, pa.int32()), pa.array(k, pa.int64())], ["h1", "h2", "id", "a", "k"])
+
+    light = kinds.join(dense, "fp", "left_anti") if some_heavy else kinds
+    dealt = with_bytes(light, cut, "fp bigint, id bigint, a int, n int, k bigint, bytes binary")
+    solved = dealt.repartition("fp").sortWithinPartitions("fp").mapInArrow(lambda f: _solve(f, length, pack), "id bigint, a int, b int").select("id", F.struct("a", "b").alias("s"))
+    spans, extra_path = copied.union(solved), ""
+    if some_heavy:
+        single, extra_path = stored(with_bytes(kinds.join(dense, "fp", "left_semi"), strings, "h1 bigint, h2 bigint, id bigint, a int, k bigint"))
+        twice = single.groupBy("h1", "h2").agg(F.sum("k").alias("m")).filter("m > 1")
+        spans = spans.union(single.join(twice, ["h1", "h2"], "left_semi").select("id", F.struct("a", (F.col("a") + F.lit(length)).cast("int").alias("b")).alias("s")))
+    out, _ = stored(spans.groupBy("id").agg(F.sort_array(F.collect_list("s")).alias("spans")))
+    removed(spark, met_path, kinds_path, dense_path, extra_path)
+    return out
 
 
 def repeats(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = 200, with_text: bool = False) -> DataFrame:
@@ -396,38 +310,33 @@ def repeats(df: DataFrame, text: str = "text", key: str = "doc_id", length: int
 
     A byte of a text's UTF-8 is removed if a string of `length` bytes that covers it also starts anywhere else in the
     table, the same text included. Strings are judged on the input. Null and empty texts have no bytes. key: int or
-    bigint, unique, not null. A character that is removed in part loses its other bytes in `kept` (not in the digest).
+    bigint; rows without a key, and rows that repeat one, are texts of their own. A character that is removed in part
+    loses its other bytes in `kept` (not in the digest). length: 8 at least.
     """
     spark = df.sparkSession
     bounded_batches(spark)
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    rows = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
-    classes, _ = stored(rows.select("id", "h1", "h2").groupBy("h1", "h2").agg(F.min("id").cast("bigint").alias("c"), F.count("*").alias("copies")))
-    texts, texts_path = stored(rows.select(F.col("id").cast("bigint").alias("id"), "text").join(classes.select(F.col("c").alias("id")), "id", "left_semi"))
-    spans = repeated_spans(texts, texts_path, length)
-    by_class = spans.groupBy(F.col("id").alias("c")).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
-    judged = classes.join(by_class, "c", "left").select("h1", "h2", (F.col("copies") > 1).alias("copied"), F.col("spans.a").alias("a"), F.col("spans.b").alias("b"))
+    rows, _ = numbered(df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")), "key")
+    spans = repeated_spans(rows.select(F.col("_row").alias("id"), "text"), length)
     schema = f"{key} {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept string" * with_text
 
     def cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches(frames):
             out = []
-            for t, copied, a, b in zip(x.column(1), *(x.column(i) for i in (2, 3, 4))):
+            for t, a, b in zip(x.column(1), x.column(2), x.column(3)):
                 t = t.as_py()
                 kept, n, at = [], 0, 0
-                if copied.as_py() and len(t) >= length:
-                    n, at = 1, len(t)
-                elif a.is_valid:
+                if a.is_valid:
                     for first, end in zip(a.values.to_pylist(), b.values.to_pylist()):
                         if first > at or not n:
                             kept.append(t[at:first])
                             n += 1
                         at = max(at, end)
                 kept = b"".join([*kept, t[at:]])
-                out.append((len(t), len(t) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+                out.append((len(t), len(t) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else ""))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())[: 4 + with_text]
             names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text]
             yield pa.RecordBatch.from_arrays([x.column(0), *(pa.array(v, k) for v, k in zip(zip(*out), kinds))], names)
 
-    return rows.join(judged, ["h1", "h2"], "left").select("id", "text", "copied", "a", "b").mapInArrow(cut, schema)
+    joined = rows.join(spans.withColumnRenamed("id", "_row").hint("merge"), "_row", "left")
+    return joined.select("key", "text", F.col("spans.a").alias("a"), F.col("spans.b").alias("b")).mapInArrow(cut, schema)
