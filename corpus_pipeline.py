@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard, languages, packing, suffixes
-from tidemark.llm.common import stored
+from tidemark.llm.common import numbered, removed, stored
 from tidemark.llm.queries import TOKENIZER, table
 
 #: Below this score a text counts as being in none of the languages: LEAST_LEAD times that of an even guess, at most LEAST_SCORE.
@@ -30,31 +30,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.select(*(F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else f"row.{c}" for c in docs.columns))
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs with a unique, not null _row: doc_id, or a larger number of their own for rows without a doc_id or with one that is
-    met again. These rows (few or none, as a rule) are stored, and are the second table."""
-    repeated, _ = stored(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
-    largest = docs.agg(F.coalesce(F.max("doc_id").cast("bigint"), F.lit(0))).first()[0]
-    odd = docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).union(docs.filter("doc_id is null"))
-    odd, _ = stored(odd.withColumn("_row", F.monotonically_increasing_id() + F.lit(largest + 1)))
-    even = docs.filter("doc_id is not null").join(repeated, "doc_id", "left_anti").select(*docs.columns, F.col("doc_id").cast("bigint").alias("_row"))
-    return even.union(odd), odd
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates exactly one row stays: that of the smallest doc_id (rows without one come last, and a
     digest of the row decides between those of one doc_id)."""
-    rows, odd = numbered(docs)
-    of_odd = odd.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(*docs.columns).alias("digest")).alias("rank"))
-    of_rest = F.struct(F.lit(False).alias("none"), F.col("_row").alias("id"), F.lit(0).cast("bigint").alias("digest"))
-    found = jaccard.similar_components(rows, key="_row").join(of_odd, "_row", "left").withColumn("rank", F.coalesce("rank", of_rest))
+    rows, odd = numbered(docs, "doc_id")
+    found = jaccard.similar_components(rows, key="_row").select("_row", "component_id")
+    rank = F.struct(F.lit(False).alias("none"), F.col("_row").alias("id"), F.lit(0).cast("bigint").alias("digest"))
+    if odd is not None:
+        of_odd = odd.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(*docs.columns).alias("digest")).alias("rank"))
+        found, rank = found.join(of_odd, "_row", "left"), F.coalesce("rank", rank)
+    found = found.withColumn("rank", rank)
     kept = found.groupBy("component_id").agg(F.min(F.struct("rank", "_row")).alias("first")).select("first._row")
     return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings of 200 and more that are met elsewhere are removed; documents of which nothing is left go."""
-    rows, _ = numbered(docs)
+    rows, _ = numbered(docs, "doc_id")
     kept = suffixes.repeats(rows, key="_row", with_text=True).filter("kept <> ''").select("_row", F.col("kept").alias("text"))
     return rows.drop("text").join(kept, "_row").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
@@ -71,8 +63,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    path = ""
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        docs, before = stage(spark, docs, sf_dir), path
         if i < len(STAGES) - 1:
-            docs, _ = stored(docs)
+            docs, path = stored(docs)
+            removed(spark, before)
     return docs
