@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,98 @@ def test_licenses_in_long_lines():
                 assert {f.license for b, _ in s.blocks(text) for f in licenses.distinct(s.findings(b)) if f.exact} == {name}, (n, notice)
 
 
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+FILES = {
+    "MIT": """MIT License
+
+Copyright (c) 2024 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.
+""",
+    "BSD-2-Clause": "Copyright (c) 2024, Jane Doe\n\n" + BSD + "\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS\n",
+    "BSD-3-Clause": "BSD 3-Clause License\n\nCopyright (c) 2024, Jane Doe\n\n"
+    + BSD
+    + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+""",
+    "ISC": """ISC License
+
+Copyright (c) 2024 Jane Doe
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+""",
+    "Apache-2.0": """Copyright 2024 Jane Doe
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+""",
+}
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_license_files_as_they_are_shipped(name):
+    import textwrap
+
+    text = FILES[name]
+    own = text.split()
+    random.seed(1)
+    fixed = {w for n, _, f in licenses.NOTICES if n == name for w in f.split()}
+    plain = [i for i, w in enumerate(own) if not fixed & {*licenses.words(w)}]
+    for i in random.sample(plain, max(1, len(own) // 25)):
+        own[i] = "zzz"
+    by = licenses.Scanner()
+    for form in (text, textwrap.fill(text, 50), "\n".join(f"// {line}" for line in text.splitlines()), "\n".join(f" * {line}" for line in text.splitlines()), "Some words first. " * 3000 + text + " and some more" * 3000, " ".join(own)):
+        found = licenses.distinct([f for b, _ in by.blocks(form) for f in by.findings(b)])
+        assert name in {f.license for f in found}, form[:200]
+
+
+def test_licenses_of_repeated_rows_long_texts_and_ties(spark):
+    rows = [(1, FILES["MIT"]), (1, FILES["MIT"]), (None, FILES["ISC"]), (2, "word " * 400_000 + "Released under the MIT License."), (3, "Licensed under CC BY 4.0. Licensed under CC BY-SA 4.0."), (4, None), (5, "")]
+    got = licenses.scan(spark.createDataFrame([(*r, "x") for r in rows], "doc_id int, text string, license string")).collect()
+    assert sorted((str(r.doc_id), tuple(r.licenses)) for r in got) == sorted([("1", ("MIT",)), ("1", ("MIT",)), ("None", ("ISC",)), ("2", ("MIT",)), ("3", ("CC-BY-4.0", "CC-BY-SA-4.0")), ("4", ()), ("5", ())])
+    assert {r.license for r in got if r.doc_id == 3} <= {"CC-BY-4.0", "CC-BY-SA-4.0"}
+
+
 def test_languages(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2)
     model = languages.fit(df.filter("not held"))
@@ -159,10 +252,77 @@ def test_pages(spark):
         assert r.text == " ".join(H.unescape(re.sub(r"<(/?)(\w+)>", lambda m: "" if m[2] == "b" else " ", inner)).split())
         assert r.n_chars == len(r.text)
     odd = spark.createDataFrame([(0, None), (1, ""), (2, "plain < text"), (3, "<p>a<p>b</b><div"), (4, "<" * 5000), (5, "<!-- x")], "page_id int, html string")
-    assert [r.text for r in html_text.extract(odd, keep=("page_id",)).orderBy("page_id").collect()][:4] == ["", "", "plain < text", "a b"]
+    assert [r.text for r in html_text.extract(odd, keep=("page_id",)).orderBy("page_id").collect()] == ["", "", "plain < text", "a b", "<" * 5000, ""]
     assert html_text.extract(odd.limit(0), keep=("page_id",)).collect() == []
 
 
+def sample_pages(n=60):
+    import duckdb
+
+    return [h for (h,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet' WHERE html IS NOT NULL ORDER BY page_id").fetchall()][:n]
+
+
+@pytest.mark.parametrize("scores", [lambda f, m: (np.ones(len(f)),) * 2, lambda f, m: (np.random.default_rng(len(f)).random(len(f)),) * 2])
+def test_the_ratios_decide(scores, monkeypatch):
+    pages = sample_pages()
+    right = [html_text.main_text(h) for h in pages]
+    assert [html_text.main_text(h.replace("<article", "<div").replace("</article", "</div")) for h in pages] == right
+    monkeypatch.setattr(html_text, "path_scores", scores)
+    assert sum(html_text.main_text(h) != t for h, t in zip(pages, right)) > 0.7 * len(pages)
+
+
+def test_ratios_by_brute_force():
+    """The fused ratio by its definition, over whole paths written out."""
+    for page in [*sample_pages(30), "<div><p>One, two. Three.<p>Four, <a href=x>five</a>.<ul><li><a>six</a><li>seven</ul></div><div class=ad>Buy!</div>"]:
+        found = [b for b in html_text.blocks(page)[0] if not b.at.dropped]
+
+        def full(e):
+            return [] if e.parent is None else [*full(e.parent), e.path]
+
+        marked = [b.at.marked for b in found]
+        got, own = html_text.path_scores(found, marked)
+        lengths, marks, evidence = [], [], []
+        for b, m in zip(found, marked):
+            like = [c for c in found if full(c.at) == full(b.at)]
+            inside, every = sum(len(c.text) - c.linked for c in like), sum(len(c.text) for c in like)
+            lengths.append(inside / len(like))
+            marks.append(sum(len(re.findall("[.,;:!?…。，、；：！？·]", c.text)) for c in like) / len(like) + 0.1)
+            evidence.append(inside / every * (0.02 if m else 2 if b.at.article else 1))
+        k = [np.exp(-0.5), 1, np.exp(-0.5)]
+
+        def smooth(v):
+            return [sum(w * v[min(max(i + d, 0), len(v) - 1)] for w, d in zip(k, (-1, 0, 1))) / sum(k) for i in range(len(v))]
+
+        assert np.allclose(got, np.array(smooth(lengths)) * smooth(marks) * evidence)
+        assert np.allclose(own, np.array(lengths) * marks * evidence)
+
+
+def test_names_are_evidence_only():
+    rest = "<p>One long sentence, of an article. Another one, too. And a third, quite long indeed.</p><p>Second, here. More, here.</p>"
+    for inner, text in [
+        ('<div class="entry-header"><h1>Title here</h1></div>', "Title here"),
+        ('<p id="social-policy">Social, policy.</p>', "Social, policy."),
+        ('<p class="search-results">We found, results.</p>', "We found, results."),
+        ("<header><h1>Title here</h1></header>", "Title here"),
+        ('<div class="ad">Buy now, or else.</div>', ""),
+        ('<div class="comment-list"><p>Reader says, hi.</p></div>', ""),
+        ("<aside>See, also.</aside>", ""),
+        ("<form>Your name, please.</form>", ""),
+    ]:
+        page = f"<html><body><nav>Menu</nav><article>{inner}{rest}</article><footer>Foot</footer></body></html>"
+        assert html_text.main_text(page).removesuffix("Second, here. More, here.").startswith(f"{text} One long".strip()), inner
+    assert html_text.main_text("") == html_text.main_text(None) == html_text.main_text("<script>x</script>") == ""
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    for unit in ("<div><p>a, b.", "<div><span><b>a, b.<p>", "<ul><li>a, b."):
+        t = time.process_time()
+        assert html_text.main_text(unit * 50_000).startswith("a, b. a, b.")
+        assert time.process_time() - t < 30
+
+
 def test_url_parts_and_rules(spark):
     cases = [(0, None, "", "", None), (1, "no scheme", "", "", None), (2, "http://A.Example.NET/en/x?y#z", "a.example.net", "/en/x", "example.net/en/"), (3, "https://example.net?q", "example.net", "", None), (4, "http://x.org/fr/", "x.org", "/fr/", "org/fr/"), (5, "http://xorg/fr/", "xorg", "/fr/", None), (6, "http://example.com/de/1", "example.com", "/de/1", "example.com/de/"), (7, "http://É.net/a", "É.net", "/a", "net/"), (8, "x://h/a://b/c", "h", "/a://b/c", None)]
     pages = spark.createDataFrame([(i, u, "clash") for i, u, *_ in cases], "page_id bigint, url string, host string")

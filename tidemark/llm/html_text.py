@@ -1,16 +1,20 @@
 """Main text of web pages by tag-path ratios.
 
-Text blocks are grouped by their root-to-leaf tag path. Each path gets its text length and its punctuation per block;
-both ratios are smoothed over the page's blocks, fused by their product and cut at a share of their spread. The blocks
-above it say which element holds the article; the article is all of that element's blocks but for boilerplate elements, and,
-where no element is named as the article, the blocks elsewhere whose own path is above the cut. Marks of boilerplate in names
-are evidence: elements that hold most of the high-scoring text are none.
+Text blocks are grouped by their root-to-leaf tag path. Each path gets its text length and its punctuation a block; both
+ratios are smoothed over the page's blocks and fused by their product, with the share of text outside links and the
+evidence of names (an advert by name weighs little, text of an article by name more). Blocks whose fused ratio is above a
+share of its spread are the content nodes. The deepest element that holds most of their text is the region of the article;
+inside it, short blocks that belong to it (headings, captions, lists) are kept too, and content nodes outside it count by
+their own path. Element kinds that are never article text (scripts, forms, menus and the like) are left out before that.
+
+All steps take time in proportion to the page, however deep it is nested.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,27 +30,39 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 DROPPED = frozenset("head nav footer aside script style noscript iframe object applet svg math button select textarea template dialog menu canvas audio video map".split())
 RAW = frozenset("script style noscript iframe textarea title template".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+CONTAINERS = frozenset("table ul ol dl td th button article section div".split())
+LEAVES = INLINE | frozenset("p pre h1 h2 h3 h4 h5 h6 li dt dd td th tr figcaption caption summary address blockquote".split())
 CLOSED_BY = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
-#: Words of class, id and role values that mark boilerplate.
+#: Words of class, id and role values that are evidence of boilerplate, and words that say nothing beside them.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay "
     "sidebar aside menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar header masthead footer colophon copyright legal social share sharing related recommended "
     "recommendations newsletter subscribe subscription signup login comment comments commentlist disqus respond replies widget widgets tags search form complementary contentinfo".split()
 )
+NEUTRAL = frozenset("site page main global top bottom left right area bar block body box buttons container content group inner items links list outer panel posts primary secondary section slot text unit wrap wrapper".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^a-zA-Z>]?[^>]*(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 _WORDS = re.compile(r"[a-z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？·]")
 
 
-@dataclass(slots=True)
+#: Weight of a path that names say is boilerplate, and of one in an article.
+UNLIKELY, LIKELY = 0.02, 2.0
+
+
 class Element:
-    tag: str
-    label: str
-    parent: Element | None
-    dropped: bool
-    marked: bool  # its own name says boilerplate
-    depth: int
+    """An element, and what follows from those around it. Numbers grow in page order, parents before children."""
+
+    __slots__ = ("tag", "parent", "number", "path", "dropped", "marked", "named", "leaf", "block", "article")
+
+    def __init__(self, tag: str, parent: Element | None, number: int, path: int, dropped: bool, marked: bool, named: bool):
+        self.tag, self.parent, self.number, self.path, self.dropped = tag, parent, number, path, dropped
+        self.named = named  # its own name says boilerplate
+        self.marked = marked  # its name or one above does
+        self.leaf = tag in LEAVES
+        self.block = self if parent is None or tag not in INLINE else parent.block
+        self.article = self if tag in ("article", "main") and (parent is None or parent.article is None) else parent and parent.article  # outermost
 
 
 @dataclass(slots=True)
@@ -56,34 +72,39 @@ class Block:
     linked: int
 
 
+def _boilerplate(name: str) -> bool:
+    """Whether a name has a mark, and beside marks only neutral words: `site-header` is one, `entry-header` is none."""
+    found = _WORDS.findall(name)
+    return any(w in MARKS for w in found) and all(w in MARKS or w in NEUTRAL for w in found)
+
+
 def _attributes(raw: str) -> tuple[str, bool, bool]:
-    """The first class, and whether the element is marked as boilerplate, and hidden."""
+    """The first class, and whether the element is named as boilerplate, and hidden."""
     label, marked, hidden = "", False, False
     for name, value in _NAMED.findall(raw):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "class" and value.split():
             label = "." + value.split()[0]
         if name in ("class", "id", "role"):
-            marked |= any(w in MARKS for w in _WORDS.findall(value))
+            marked |= any(map(_boilerplate, value.split()))
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             hidden = True
     return label, marked, hidden
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's non-empty text blocks in order, white space and character references resolved, boilerplate included."""
-    root = Element("", "", None, False, False, 0)
+def blocks(page: str) -> tuple[list[Block], list[Element]]:
+    """The page's non-empty text blocks in order, white space and character references resolved, boilerplate included; and
+    all elements."""
+    root = Element("", None, 0, 0, False, False, False)
     now, out, run, linked, links, at = root, [], [], 0, 0, 0
+    elements, paths, opened = [root], {}, Counter()
 
     def flush() -> None:
         nonlocal run, linked
         if run:
             text = " ".join("".join(run).split())
             if text:
-                holder = now
-                while holder.tag in INLINE:
-                    holder = holder.parent
-                out.append(Block(text, holder, linked))
+                out.append(Block(text, now.block, linked))
             run, linked = [], 0
 
     def add(text: str) -> None:
@@ -97,6 +118,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal now, links
         while now is not until:
             links -= now.tag == "a"
+            opened[now.tag] -= 1
             now = now.parent
 
     while at < len(page):
@@ -114,22 +136,23 @@ def blocks(page: str) -> list[Block]:
         if m[1] or m[4]:
             if tag not in INLINE:
                 flush()
-            node = now
-            while node is not root and node.tag != tag:
-                if tag in INLINE and node.tag not in INLINE:  # an inline end tag closes nothing outside its block
-                    node = root
-                    break
-                node = node.parent
-            if node is not root:
-                close(node.parent)
+            if opened[tag]:
+                node = now
+                while node.tag != tag:
+                    if tag in INLINE and node.tag not in INLINE:  # an inline end tag closes nothing outside its block
+                        node = root
+                        break
+                    node = node.parent
+                if node is not root:
+                    close(node.parent)
             continue
         raw = m[3] if m[2] else m[6]
         if tag not in INLINE:
             flush()
-        if tag in CLOSES_P or tag in CLOSED_BY:
-            ends = ("p " * (tag in CLOSES_P) + CLOSED_BY.get(tag, "")).split()
+        ends = ["p"] * (tag in CLOSES_P) + CLOSED_BY.get(tag, "").split()
+        if any(opened[e] for e in ends):
             node, last = now, None
-            while node is not root and node.tag not in ("table", "ul", "ol", "dl", "td", "th", "button", "article", "section", "div") or node.tag in ends:
+            while node is not root and node.tag not in CONTAINERS or node.tag in ends:
                 if node.tag in ends:
                     last = node
                 node = node.parent
@@ -139,19 +162,19 @@ def blocks(page: str) -> list[Block]:
             run.append(" ")
         if tag in VOID or raw.endswith("/") and tag in ("svg", "path"):
             continue
-        label, marked, hidden = _attributes(raw) if raw else ("", False, False)
-        inside = now
-        while inside is not root and inside.tag not in ("article", "main"):
-            inside = inside.parent
+        label, named, hidden = _attributes(raw) if raw else ("", False, False)
         page_wide = tag in ("html", "body")
-        dropped = now.dropped or tag in DROPPED or hidden and not page_wide or tag == "header" and inside is root
-        now = Element(tag, label, now, dropped, (marked or tag == "form") and not page_wide, now.depth + 1)
+        named = (named or tag == "form") and not page_wide
+        dropped = now.dropped or tag in DROPPED or hidden and not page_wide or tag == "header" and now.article is None
+        now = Element(tag, now, len(elements), paths.setdefault((now.path, tag, label), len(paths) + 1), dropped, now.marked or named, named)
+        elements.append(now)
+        opened[tag] += 1
         links += tag == "a"
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
+            end = _ENDS[tag].search(page, at)
             at = end.start() if end else len(page)
     flush()
-    return out
+    return out, elements
 
 
 def _smoothed(values: np.ndarray, radius: int = 1) -> np.ndarray:
@@ -160,118 +183,85 @@ def _smoothed(values: np.ndarray, radius: int = 1) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
-def path(element: Element) -> str:
-    parts = []
-    while element.parent is not None:
-        parts.append(element.tag + element.label)
-        element = element.parent
-    return "/".join(reversed(parts))
-
-
-def path_scores(found: list[Block]) -> tuple[np.ndarray, np.ndarray]:
-    """The fused ratio of each block, text length a block of its path by punctuation a block of its path: both smoothed over
-    the blocks, and as they are."""
-    stats: dict[str, list[int]] = {}
-    paths = [path(b.at) for b in found]
-    for p, b in zip(paths, found):
-        s = stats.setdefault(p, [0, 0, 0])
+def path_scores(found: list[Block], marked: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """The fused ratio of each block: text length a block of its path by punctuation a block of its path, by the share of the
+    path's text outside links and the evidence of names. Both ratios smoothed over the blocks, and as they are."""
+    stats: dict[int, list[int]] = {}
+    for b in found:
+        s = stats.setdefault(b.at.path, [0, 0, 0, 0])
         s[0] += len(b.text) - b.linked
         s[1] += len(PUNCTUATION.findall(b.text))
         s[2] += 1
-    lengths = np.array([stats[p][0] / stats[p][2] for p in paths], float)
-    marks = np.array([stats[p][1] / stats[p][2] for p in paths], float)
-    return _smoothed(lengths) * _smoothed(marks + 0.1), lengths * (marks + 0.1)
-
-
-def _above(element: Element | None) -> Iterator[Element]:
-    while element is not None:
-        yield element
-        element = element.parent
+        s[3] += len(b.text)
+    own = [stats[b.at.path] for b in found]
+    lengths = np.array([s[0] / s[2] for s in own], float)
+    marks = np.array([s[1] / s[2] for s in own], float) + 0.1
+    evidence = np.array([s[0] / s[3] * (UNLIKELY if m else LIKELY if b.at.article else 1.0) for s, m, b in zip(own, marked, found)], float)
+    return _smoothed(lengths) * _smoothed(marks) * evidence, lengths * marks * evidence
+
+
+def _held(found: list[Block], weights: np.ndarray, elements: list[Element]) -> np.ndarray:
+    """The weight of the blocks in each element, by its number."""
+    out = np.zeros(len(elements))
+    np.add.at(out, [b.at.number for b in found], weights)
+    for e in reversed(elements[1:]):
+        out[e.parent.number] += out[e.number]
+    return out
 
 
-def unmarked(found: list[Block], spread: float) -> list[Block]:
-    """The blocks outside boilerplate by its names. Elements of one path that hold most of the page's high-scoring text are not
-    boilerplate, unless an unmarked article or main beside them holds a tenth of it, or one around them a third besides theirs."""
-    if not any(e.marked for b in found for e in _above(b.at)):
-        return found
-    scores, _ = path_scores(found)
+def _seeds(found: list[Block], marked: list[bool], spread: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Text lengths of the blocks above the threshold, 0 for others; the unsmoothed ratios, and the threshold."""
+    scores, own = path_scores(found, marked)
     cut = min(spread * scores.std(), scores.max())
-    seeds = [(b, [*_above(b.at)], len(b.text) - b.linked) for b, s in zip(found, scores) if s >= cut]
-    total = sum(n for *_, n in seeds)
-    under: dict[str, int] = {}
-    around: dict[str, set[int]] = {}
-    for _, above, n in seeds:
-        for p in {path(e) for e in above if e.marked}:
-            under[p] = under.get(p, 0) + n
-            around.setdefault(p, set()).update(id(e) for e in above)
-
-    def named(p: str) -> int:
-        """Ten times the text of articles beside the elements of p and thrice that of articles around them, theirs left out."""
-        n_all = 0
-        for _, above, n in seeds:
-            holders = [e for e in above if e.tag in ("article", "main")]
-            if holders and not any(e.marked for e in above):
-                n_all += (3 if all(id(e) in around[p] for e in holders) else 10) * n
-        return n_all
-
-    spared = {p for p, n in under.items() if 2 * n > total and named(p) < total}
-    return [b for b in found if not any(e.marked and path(e) not in spared for e in _above(b.at))]
-
-
-def main_text(page: str | None, spread: float = 0.5) -> str:
+    return np.array([len(b.text) - b.linked for b in found], float) * (scores >= cut), own, cut
+
+
+def _marked(found: list[Block], elements: list[Element], spread: float) -> list[bool]:
+    """Whether a block is in an element that names say is boilerplate. Elements of one path that hold most of the text of
+    high ratio, names left aside, are none; unless an article beside them holds a tenth of it, or one around them a third."""
+    if not any(b.at.marked for b in found):
+        return [False] * len(found)
+    weights, _, _ = _seeds(found, [False] * len(found), spread)
+    held = _held(found, weights, elements)
+    beside = _held(found, weights * [not b.at.marked and b.at.article is not None for b in found], elements)
+    by_path: dict[int, list[Element]] = {}
+    for e in elements:
+        if e.named and held[e.number]:
+            by_path.setdefault(e.path, []).append(e)
+    spared = set()
+    for path, own in by_path.items():
+        around = sum(beside[a.number] for a in {e.article for e in own if e.article is not None})
+        rest = beside[0] - around
+        if 2 * sum(held[e.number] for e in own) > held[0] and 10 * rest + 3 * around < held[0]:
+            spared.add(path)
+    marked = [False] * len(elements)
+    for e in elements[1:]:
+        marked[e.number] = marked[e.parent.number] or e.named and e.path not in spared
+    return [marked[b.at.number] for b in found]
+
+
+def main_text(page: str | None, spread: float = 0.5, most: float = 0.8) -> str:
     """The article of a page: its blocks joined by one blank. Empty without text outside boilerplate."""
-    found = unmarked([b for b in blocks(page) if not b.at.dropped], spread) if page else []
+    every, elements = blocks(page) if page else ([], [])
+    found = [b for b in every if not b.at.dropped]
     if not found:
         return ""
-    scores, own = path_scores(found)
-    cut = min(spread * scores.std(), scores.max())
-    seeds = scores >= cut
-    weights = np.array([len(b.text) for b in found], float) * seeds
-    under: dict[int, float] = {}
-    elements: dict[int, Element] = {}
-    for b, w in zip(found, weights):
-        node = b.at
-        while node is not None:
-            under[id(node)] = under.get(id(node), 0.0) + w
-            elements[id(node)] = node
-            node = node.parent
-    total = weights.sum()
-
-    def outermost(tag: str) -> list[Element]:
-        out = []
-        for e in elements.values():
-            up = e.parent
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if e.tag == tag and up is None:
-                out.append(e)
-        return out
-
-    holders: list[Element] = []
-    for tag in ("article", "main"):
-        named = [e for e in outermost(tag) if under[id(e)] > 0]
-        if sum(under[id(e)] for e in named) >= 0.5 * total:
-            best = max(under[id(e)] for e in named)
-            holders = [e for e in named if under[id(e)] >= 0.1 * best]
-            break
-    explicit = bool(holders)
-    if not holders:
-        holders = [max((e for e in elements.values() if under[id(e)] >= 0.8 * total), key=lambda e: e.depth)]
-    held = {id(e) for e in holders}
-
-    def within(e: Element | None) -> bool:
-        while e is not None:
-            if id(e) in held:
-                return True
-            e = e.parent
-        return False
-
-    def taken(b: Block, seed: bool, alone: float) -> bool:
-        if within(b.at):
-            return explicit or seed or b.linked < 0.6 * len(b.text)
-        return not explicit and alone >= cut and b.linked < 0.6 * len(b.text)
-
-    return " ".join(b.text for b, s, o in zip(found, seeds, own) if taken(b, s, o))
+    marked = _marked(found, elements, spread)
+    weights, own, cut = _seeds(found, marked, spread)
+    held = _held(found, weights, elements)
+    core = max((e for e in elements if held[e.number] >= most * held[0] and not e.leaf), key=lambda e: e.number)
+    core = core.article or core
+    inside, articles = [False] * len(elements), False
+    for e in elements:
+        inside[e.number] = e is core or e.parent is not None and inside[e.parent.number]
+        articles |= inside[e.number] and e.article is e and held[e.number] > 0
+
+    def taken(b: Block, likely: bool, seed: bool, ratio: float) -> bool:
+        if likely and inside[b.at.number] and (b.at.article is not None and held[b.at.article.number] > 0 or not articles):
+            return seed or b.at.article is not None or b.linked < 0.6 * len(b.text)
+        return ratio >= cut and b.linked < 0.6 * len(b.text)
+
+    return " ".join(b.text for b, m, w, r in zip(found, marked, weights, own) if taken(b, not m, w > 0, r))
 
 
 def extract(df: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
