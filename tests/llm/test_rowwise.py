@@ -35,6 +35,23 @@ def test_bpe_is_the_librarys(spark):
     assert bpe.round_trip(table(spark, []), TOKENIZER).collect() == []
 
 
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_bpe_of_colliding_words(spark):
+    """Strings that polynomial hashes modulo 2**64 take for each other, in one batch and in later ones."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(TOKENIZER)
+    texts = [thue_morse(n, letters) for n in (64, 128, 1024, 2048, 4096) for letters in ("ab", "ba")]
+    by = bpe.BytePairEncoder(TOKENIZER)
+    for some in (texts, [" ".join(texts)], texts[::-1], texts[4:5], texts[5:6]):
+        data = [x.encode() for x in some]
+        ids, starts = by.encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+        assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [t.encode(x, add_special_tokens=False).ids for x in some]
+
+
 def test_bpe_ids_decode_again(spark):
     out = bpe.decode(bpe.encode(table(spark), TOKENIZER), TOKENIZER)
     assert {r.doc_id: r.text for r in out.collect()} == {i or None: t or "" for i, t in enumerate(TEXTS)}

@@ -5,7 +5,8 @@ back to back, every adjacent pair of symbols is indexed by its merge rank with a
 are applied in ascending order: all positions of a rank merge together, and the pairs that this makes are added to the
 lists of their (always higher) ranks. Known pre-tokens are kept, up to a bound, between the batches of a worker.
 
-Pre-tokens are told apart by 64-bit hashes of their bytes.
+Pre-tokens are told apart by their bytes: hashes only group those of a batch, and each one is compared with the first of
+its group.
 """
 
 from __future__ import annotations
@@ -74,6 +75,27 @@ def _character_classes(split) -> np.ndarray:
     return out
 
 
+def _distinct(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the spans [a, b) that tile data: one index of each distinct span, and which of these each span is."""
+    _, which, inverse = np.unique(span_hashes(prefix_sums(BYTE_VALUES[data]), a, b), return_index=True, return_inverse=True)
+    first, length = which[inverse], b - a
+    bad = length != length[first]
+    like = np.where(bad, np.arange(len(a)), first)
+    apart = np.flatnonzero(data != data[ranges(a[like], length)])
+    if len(apart) or bad.any():  # equal hashes, other bytes
+        bad[np.searchsorted(a, apart, side="right") - 1] = True
+        more: dict[bytes, int] = {}
+        extra = []
+        for t in np.flatnonzero(bad).tolist():
+            word = data[a[t] : b[t]].tobytes()
+            if word not in more:
+                more[word] = len(which) + len(more)
+                extra.append(t)
+            inverse[t] = more[word]
+        which = np.concatenate([which, np.array(extra, which.dtype)])
+    return which, inverse
+
+
 class BytePairEncoder:
     """Encoder and decoder of a tokenizers JSON file with byte-level BPE, no normaliser and no prefix space."""
 
@@ -107,7 +129,7 @@ class BytePairEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.known: dict[bytes, int] = {}
         self.word_ids, self.word_starts, self.word_lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -214,9 +236,8 @@ class BytePairEncoder:
         first = np.flatnonzero(begin)
         a = offsets[first]
         b = np.append(a[1:], len(data))
-        hashes = span_hashes(prefix_sums(BYTE_VALUES[data]), a, b)
-        words, which, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        place = self._places(words, which, data, a, b)
+        which, inverse = _distinct(data, a, b)
+        place = self._places([data[i:j].tobytes() for i, j in zip(a[which].tolist(), b[which].tolist())])
         for p, _, i in specials:
             place[inverse[np.searchsorted(first, p)]] = -1 - i
         place = place[inverse]
@@ -228,26 +249,19 @@ class BytePairEncoder:
             ids[ends[t]] = fixed[t]
         return ids, ends[np.searchsorted(a, starts)]
 
-    def _places(self, words: np.ndarray, which: np.ndarray, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def _places(self, words: list[bytes]) -> np.ndarray:
         """Where the kept tables have each of these words; new ones are merged and added first."""
         if len(self.known) > MOST_WORDS:
             self._forget()
-        i = np.searchsorted(self.known, words)
-        has = np.zeros(len(words), bool) if not len(self.known) else self.known[np.minimum(i, len(self.known) - 1)] == words
-        new = np.flatnonzero(~has)
-        if len(new):
-            pick = which[new]
-            lengths = b[pick] - a[pick]
-            ids, counts = self.merged(data[ranges(a[pick], lengths)], lengths)
+        new = [w for w in words if w not in self.known]
+        if new:
+            ids, counts = self.merged(np.frombuffer(b"".join(new), np.uint8), np.array([len(w) for w in new]))
             base, n = len(self.word_ids), len(self.word_lengths)
             self.word_ids = np.concatenate([self.word_ids, ids])
             self.word_starts = np.concatenate([self.word_starts, base + np.cumsum(counts) - counts])
             self.word_lengths = np.concatenate([self.word_lengths, counts])
-            at = np.searchsorted(self.known, words[new])
-            self.known = np.insert(self.known, at, words[new])
-            self.at = np.insert(self.at, at, np.arange(n, n + len(new)))
-            i = np.searchsorted(self.known, words)
-        return self.at[i].copy()
+            self.known.update(zip(new, range(n, n + len(new))))
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""

@@ -144,7 +144,7 @@ def placed(pieces: DataFrame, limits: Limits, **options) -> DataFrame:
     """pieces (see cut(), stored: it is read three times) with sequence_id and offset."""
     counts = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most limits.tokens rows
-    runs = best_fit(histogram, limits, **options)
+    shared = pieces.sparkSession.sparkContext.broadcast(best_fit(histogram, limits, **options))  # a few runs a length
     before = counts.select("task", "length", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     ranked = pieces.join(before, ["task", "length"])
     keep = [c for c in pieces.columns if c not in ("task", "task_rank")]
@@ -152,6 +152,7 @@ def placed(pieces: DataFrame, limits: Limits, **options) -> DataFrame:
     width = 44  # bits of a rank
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = shared.value
         firsts = runs[:, 0] << width | runs[:, 1]
         for x in batches(frames):
             length, rank = (x.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (len(keep), len(keep) + 1))
