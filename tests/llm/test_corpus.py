@@ -99,6 +99,37 @@ def test_jaccard_components(spark):
     assert jaccard.similar_components(table(spark, [])).collect() == []
 
 
+def brute_jaccard(rows):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    parts = united(sets, links)
+    return {i: (len(s), parts[i]) for i, s in sets.items()}
+
+
+def test_jaccard_of_colliding_words_and_frequent_shingles(spark, monkeypatch):
+    """Words that polynomial hashes modulo 2**64 take for each other; and a frequent shingle whose list is dealt to tiles."""
+    monkeypatch.setattr(jaccard, "PART", 8)
+    monkeypatch.setattr(jaccard, "POSTINGS", 50)
+    monkeypatch.setattr(jaccard, "HELD", 10)
+    rows = [(i, " ".join(f"w x y z {thue_morse(n, letters)}" for n in (64, 128, 1024, 2048, 4096))) for i, letters in enumerate(("ab", "ba"))]
+    random.seed(9)
+    for i in range(120):
+        rows.append((100 + i, "all rights are reserved here " + " ".join(f"v{(i // 2) * 7 + j}" for j in range(random.randrange(3, 9)))))
+    rows += [(300 + i, "the line that all of these share" + (f" u{i // 3}" if i % 3 else "")) for i in range(40)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_components(table(spark, rows)).collect()}
+    assert got == brute_jaccard(rows)
+
+
+def test_jaccard_of_rows_without_a_key_and_repeated_keys(spark):
+    long, other = (" ".join(f"{w}{i}" for i in range(40)) for w in ("long", "other"))
+    rows = [(None, long), (9, long), (None, other), (None, other), (5, "one two"), (5, "one two"), (7, "one two"), (5, None)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_components(table(spark, rows)).collect()), key=str)
+    assert got == sorted([(None, 36, 9), (9, 36, 9), (None, 36, None), (None, 36, None), (5, 1, 5), (5, 1, 5), (7, 1, 5), (5, 0, 5)], key=str)
+
+
 def test_blocks_of_an_index_list_lose_no_pair():
     rng = np.random.default_rng(0)
     n = 700

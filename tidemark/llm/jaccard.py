@@ -11,13 +11,17 @@ shingle's index list is ordered by set size and position and cut into blocks; a
 where its sizes, or the shingles left after its positions, cannot reach the needed overlap, or where it is of one
 component. Candidates are verified exactly.
 
-Postings travel as packed arrays, one row per batch and bucket of shingles, so that a posting costs bytes and no rows.
-No pair inside a component is made, texts are shuffled only where a set takes part in a step, and groups around a leader
-are cut into chunks of a bounded number of members. Shingles are told apart by 64-bit hashes.
+Postings travel as packed arrays, one row per batch and bucket of shingles, so that a posting costs bytes and no rows. The
+number of buckets follows the number of postings, and the list of a frequent shingle is dealt to tiles: its sets are dealt to
+parts, and each pair of parts has a list of its own in some bucket. No pair inside a component is made, texts are shuffled
+only where a set takes part in a step, and groups around a leader are cut into chunks of a bounded number of members.
+
+Shingles are told apart by 64-bit hashes, made from the words' bytes by mixing that is not linear.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,23 +30,54 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BYTE_VALUES, batches, bounded_batches, flat_bytes, groups_of, mixed, prefix_sums, removed, span_hashes, stored
+from tidemark.llm.common import batches, bounded_batches, flat_bytes, groups_of, mixed, numbered, ranges, removed, stored
 from tidemark.llm.components import components
 
 #: Frequent shingles that every task knows: only their place in the global order depends on it.
 HINTS = 1 << 18
 #: Shingles of a stretch of rows that are counted together for the hints.
-COUNTED = 6_000_000
+COUNTED = 3_000_000
+#: Postings of a bucket, about, and sets of a part of a frequent shingle's list.
+POSTINGS, PART = 300_000, 1 << 14
+#: Candidate pairs that a task holds.
+HELD = 500_000
 #: Members of a leader that are verified together, and entries of an index block.
 CHUNK, BLOCK = 256, 256
 BANDS, BAND_WIDTH = 8, 3
 _SEEDS = mixed(np.arange(1, BANDS * BAND_WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
+def _word_hashes(data: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words [at, ends) of data: of up to 16 bytes from these as two numbers, of more by xxh3."""
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 9,), ">u8", padded.data, 0, (1,))
+    n = (ends - at).astype(np.uint64)
+    first = eight[at].astype(np.uint64) >> (np.uint64(64) - np.uint64(8) * np.minimum(n, np.uint64(8)))
+    with np.errstate(over="ignore"):
+        out = mixed(mixed(first + n * np.uint64(0x9E3779B97F4A7C15)))
+        more = np.flatnonzero(n > 8)
+        rest = eight[at[more] + 8].astype(np.uint64) >> (np.uint64(64) - np.uint64(8) * np.minimum(n[more] - np.uint64(8), np.uint64(8)))
+        out[more] = mixed(out[more] + rest)
+    long = np.flatnonzero(n > 16)
+    if len(long):
+        whole = data.tobytes()
+        out[long] = [xxhash.xxh3_64_intdigest(whole[a:b]) for a, b in zip(at[long].tolist(), ends[long].tolist())]
+    return out
+
+
+def _shingles(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the runs of `width` words, from hashes of the words."""
+    n = len(words) - width + 1
+    out = np.full(n, width, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(width):
+            out = mixed(out + words[i : i + n])
+    return out
+
+
 def shingle_sets(data: np.ndarray, starts: np.ndarray, width: int = 5) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of every text of a batch.
 
@@ -51,6 +86,7 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, width: int = 5) -> list[n
     """
     if not len(data):
         return [np.zeros(0, np.uint64)] * (len(starts) - 1)
+    data = np.frombuffer(data.tobytes().lower(), np.uint8)  # bytes: A-Z only
     edge = np.ones(len(data) + 1, bool)
     blank = _BLANK[data]
     edge[1:-1] = blank[1:] != blank[:-1]
@@ -59,19 +95,14 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, width: int = 5) -> list[n
     at, ends = at[:-1], at[1:]
     word = ~blank[at]
     at, ends = at[word], ends[word]
-    words = span_hashes(prefix_sums(BYTE_VALUES[_LOWER[data]]), at, ends)
+    words = _word_hashes(data, at, ends)
     first = np.searchsorted(at, starts)
-    sums = prefix_sums(words)
-    i = np.arange(max(0, len(words) - width + 1))
-    grams = span_hashes(sums, i, i + width)
+    grams = _shingles(words, width) if len(words) >= width else words
     out = []
     for a, b in zip(first.tolist(), first[1:].tolist()):
-        if b - a >= width:
-            out.append(np.unique(grams[a : b - width + 1]))
-        elif b > a:
-            out.append(span_hashes(sums, np.array([a]), np.array([b])))
-        else:
-            out.append(np.zeros(0, np.uint64))
+        own = grams[a : b - width + 1] if b - a >= width else _shingles(words[a:b], b - a) if b > a else words[a:b]
+        own = np.sort(own)
+        out.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own)
     return out
 
 
@@ -165,6 +196,24 @@ def verified(links: DataFrame, texts: DataFrame, width: int, percent: int, kind:
     return rows.repartition("gid").sortWithinPartitions("gid", "role").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _tiled(tokens: np.ndarray, doc: np.ndarray, position: np.ndarray, ids: np.ndarray, known: np.ndarray, weight: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings, those of frequent shingles once for each part of the shingle's list: two sets meet in the tile of their parts."""
+    if not len(known) or not len(tokens):
+        return tokens, doc, position
+    i = np.minimum(np.searchsorted(known, tokens.view(np.int64)), len(known) - 1)
+    parts = np.where(known[i] == tokens.view(np.int64), -(-weight[i] // part), 1)
+    heavy = np.flatnonzero(parts > 1)
+    if not len(heavy):
+        return tokens, doc, position
+    each = np.repeat(heavy, parts[heavy])
+    own = (mixed(ids[doc[each]].view(np.uint64)) % parts[each].astype(np.uint64)).astype(np.int64)
+    other = ranges(np.zeros(len(heavy), np.int64), parts[heavy])
+    with np.errstate(over="ignore"):
+        tile = mixed(tokens[each] + mixed((np.minimum(own, other) << 32 | np.maximum(own, other)).view(np.uint64) + np.uint64(1)))
+    light = parts == 1
+    return np.concatenate([tokens[light], tile]), np.concatenate([doc[light], doc[each]]), np.concatenate([position[light], position[each]])
+
+
 def _postings(reps: DataFrame, hints: np.ndarray, buckets: int, width: int, percent: int) -> DataFrame:
     """Packed postings of the sets' prefixes: (bucket, shingle, id, component, size, position), each but bucket an array."""
     known, order = np.sort(hints[:, 0]), np.argsort(hints[:, 0], kind="stable")
@@ -187,10 +236,11 @@ def _postings(reps: DataFrame, hints: np.ndarray, buckets: int, width: int, perc
             tokens = np.concatenate(parts)
             doc = np.repeat(np.arange(len(sets)), n)
             position = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
+            ids, comps = (x.column(k).cast(pa.int64()).to_numpy() for k in (0, 1))
+            tokens, doc, position = _tiled(tokens, doc, position, ids, known, weight, PART)
             bucket = (tokens >> np.uint64(20)) % np.uint64(buckets)
             by = np.argsort(bucket, kind="stable")
             used, first = np.unique(bucket[by], return_index=True)
-            ids, comps = (x.column(k).cast(pa.int64()).to_numpy() for k in (0, 1))
             columns = [tokens[by], ids[doc[by]], comps[doc[by]], sizes[doc[by]].astype(np.int32), position[by].astype(np.int32)]
             cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(by)]))
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array([c[a:b].tobytes() for a, b in cuts], pa.binary()) for c in columns)], ["bucket", "shingle", "id", "component", "size", "position"])
@@ -225,7 +275,7 @@ def _list_pairs(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, positions
                 yield ids[a + p], ids[b + q]
 
 
-def _candidates(postings: DataFrame, percent: int, kind: str) -> DataFrame:
+def _candidates(postings: DataFrame, buckets: int, percent: int, kind: str) -> DataFrame:
     """Pairs (leader, member) of different components that share a prefix shingle and pass the filters."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,15 +299,26 @@ def _candidates(postings: DataFrame, percent: int, kind: str) -> DataFrame:
             first, ends = first[mixed_lists], ends[mixed_lists]
             two = first[ends - first == 2]
             two = two[_possible(sizes[two], positions[two], sizes[two + 1], positions[two + 1], percent) & (100 * sizes[two] >= percent * sizes[two + 1])]
-            found = [(ids[two], ids[two + 1])]
+            found, held = [(ids[two], ids[two + 1])], len(two)
             for a, b in zip(first[ends - first > 2].tolist(), ends[ends - first > 2].tolist()):
-                found += _list_pairs(ids[a:b], comps[a:b], sizes[a:b], positions[a:b], percent)
+                for pair in _list_pairs(ids[a:b], comps[a:b], sizes[a:b], positions[a:b], percent):
+                    found.append(pair)
+                    held += len(pair[0])
+                    if held > HELD:
+                        yield from pairs(found)
+                        found, held = [], 0
+            yield from pairs(found)
+
+    def pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if sum(len(a) for a, _ in found):
             a, b = (np.concatenate([p[k] for p in found]) for k in (0, 1))
-            if len(a):
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["leader", "member"])
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["leader", "member"])
 
-    return postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "leader bigint, member bigint").distinct().select(F.col("leader").cast(kind), F.col("member").cast(kind))
+    return postings.repartition(max(buckets, 1), "bucket").sortWithinPartitions("bucket").mapInArrow(run, "leader bigint, member bigint").distinct().select(F.col("leader").cast(kind), F.col("member").cast(kind))
 
 
 def _hints(counted: DataFrame) -> tuple[np.ndarray, str]:
@@ -277,14 +338,27 @@ def similar_components(df: DataFrame, text: str = "text", key: str = "doc_id", p
     """One row per row of df: key, n_shingles (its set's size), component_id (smallest key reachable by links).
 
     Two rows link where 100 * intersection >= percent * union of their sets of distinct `width`-word shingles. Null and
-    empty texts, and those without words, have empty sets and link with nothing. key: int or bigint, unique, not null.
+    empty texts, and those without words, have empty sets and link with nothing. key: int or bigint; rows without a key and
+    rows that repeat one are texts of their own (a component of rows without keys has a null id).
     """
     spark = df.sparkSession
     bounded_batches(spark)
     kind = df.schema[key].dataType.simpleString()
+    rows, odd = numbered(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "key")
+    found = _components(rows.select("_row", "text"), percent, width)
+    if odd is None:
+        return found.select(F.col("_row").cast(kind).alias(key), "n_shingles", F.col("component_id").cast(kind).alias("component_id"))
+    found = found.join(odd.select("_row", F.lit(True).alias("odd"), "key"), "_row", "left").select("component_id", "n_shingles", F.when(F.col("odd"), F.col("key")).otherwise(F.col("_row").cast(kind)).alias(key))
+    least = found.groupBy("component_id").agg(F.min(key).alias("least"))
+    return found.join(least, "component_id").select(key, "n_shingles", F.col("least").alias("component_id"))
+
+
+def _components(df: DataFrame, percent: int, width: int) -> DataFrame:
+    """(_row, n_shingles, component_id) of df (_row bigint, unique; text)."""
+    spark, key, text, kind = df.sparkSession, "_row", "text", "bigint"
     described, path = stored(_described(df, key, text, width, kind))
     rows = described.filter("kind = 0")
-    classes, classes_path = stored(rows.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("bands").alias("bands")))
+    classes, classes_path = stored(rows.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("n").alias("n")))
     texts = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
     by_id = lambda ids: texts.join(ids.hint("merge"), "id", "left_semi")  # noqa: E731  ids grow with the table: never broadcast
 
@@ -300,14 +374,15 @@ def similar_components(df: DataFrame, text: str = "text", key: str = "doc_id", p
     hints, hints_path = _hints(described.filter("kind = 1"))
     removed(spark, hints_path)
     reps = classes.select("id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component_id", "id").alias("component")).hint("merge").join(texts, "id")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs, pairs_path = stored(_candidates(_postings(reps, hints, buckets, width, percent), percent, kind))
+    total = classes.agg(F.coalesce(F.sum(F.floor(F.col("n") * (100 - percent) / 100) + 1), F.lit(0))).first()[0]
+    buckets = max(1, math.ceil(total / POSTINGS))
+    pairs, pairs_path = stored(_candidates(_postings(reps, hints, buckets, width, percent), buckets, percent, kind))
     removed(spark, joined_path)
     needed = pairs.select(F.col("leader").alias("id")).union(pairs.select("member")).distinct()
     chosen, chosen_path = stored(by_id(needed))
     links, links_path = stored(close.union(verified(pairs, chosen, width, percent, kind)))
     removed(spark, pairs_path, chosen_path, close_path)
-    found, _ = components(links)
+    found, _ = components(links)  # stays with the result
     removed(spark, links_path)
     of_class = classes.select("h1", "h2", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", F.coalesce("component_id", "id").alias("component_id"))
     return rows.select("id", "n", "h1", "h2").join(of_class, ["h1", "h2"], "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
