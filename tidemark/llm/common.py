@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Limits of one Arrow batch handed to Python: rows, and bytes (one row may be longer than that).
-BATCH_ROWS = 5_000
-BATCH_BYTES = 4 << 20
+#: Limits of one Arrow batch handed to Python: rows, and bytes (one row may be longer than that). Arrays of 8 bytes a byte are made of it.
+BATCH_ROWS = 2_000
+BATCH_BYTES = 1 << 20
 
 
 def bounded_batches(spark: SparkSession, n_bytes: int = BATCH_BYTES) -> None:

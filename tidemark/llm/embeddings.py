@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import batches, bounded_batches, groups_of, mixed, stored
 from tidemark.llm.components import components
 
-#: Members of a block; a tile compares two blocks.
-BLOCK = 512
+#: Members of a block; a tile compares two blocks, and has a number for each pair of their members.
+BLOCK = 1536
 
 
 class Hashes:
@@ -44,18 +44,18 @@ class Hashes:
         return out.astype(np.int64)
 
 
-def _forest(linked: np.ndarray) -> np.ndarray:
-    """The smallest row that each row reaches in a symmetric boolean matrix."""
-    label = np.arange(len(linked))
-    rows, cols = np.nonzero(linked)
-    while len(rows):
-        new = label.copy()
-        np.minimum.at(new, rows, label[cols])
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    return label
+def _forest(linked: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest place that each row and each column reaches in a boolean matrix of links, whose columns' places follow
+    those of the rows (or are the rows', where it is whole)."""
+    rows, columns = np.arange(linked.shape[0]), np.arange(linked.shape[1]) + (0 if whole else linked.shape[0])
+    most = sum(linked.shape) + 1
+    while True:
+        least = np.minimum(rows, np.where(linked, columns[None, :], most).min(axis=1, initial=most))
+        other = np.minimum(columns, np.where(linked, least[:, None], most).min(axis=0, initial=most))
+        least = np.minimum(least, other) if whole else least
+        if (least == rows).all() and (other == columns).all():
+            return least, least if whole else other
+        rows, columns = least, least if whole else other
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = 0.98, tables: int = 32, projections: int = 8, width: float = 0.8, seed: int = 7) -> DataFrame:
@@ -66,11 +66,11 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     different sizes don't link. Keys must be unique and not null. Rows that repeat a vector link with each other.
     """
     spark = df.sparkSession
-    bounded_batches(spark, 4 << 20)
+    bounded_batches(spark)
     size = F.size(vector)
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
     valid = F.coalesce(F.col(label).isNotNull() & (size > 0) & F.forall(vector, finite) & F.exists(vector, lambda c: c != 0), F.lit(False))
-    rows = df.select(F.col(key).alias("id"), F.col(label).cast("string").alias("y"), F.transform(vector, lambda c: c.cast("double")).alias("v"), valid.alias("ok"))
+    rows = df.select(F.col(key).alias("id"), F.col(label).cast("string").alias("y"), F.col(vector).alias("v"), valid.alias("ok"))
     rows = rows.withColumns({"h1": F.xxhash64("y", "v"), "h2": F.xxhash64(F.lit(1), "v", "y")})
     classes, _ = stored(rows.filter("ok").groupBy("y", "h1", "h2").agg(F.min("id").alias("c"), F.count("*").alias("n"), F.first("v").alias("v")).withColumn("size", F.size("v")))
 
@@ -78,7 +78,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
         for x in batches(frames):
             for k in np.unique(sizes := x.column(2).to_numpy()):
                 own = x.filter(pa.array(sizes == k))
-                v = own.column(3).flatten().to_numpy().reshape(own.num_rows, int(k))
+                v = own.column(3).flatten().to_numpy().astype(np.float64).reshape(own.num_rows, int(k))
                 v = v / np.abs(v).max(axis=1, keepdims=True)
                 keys = Hashes(int(k), tables, projections, width, seed).keys(v / np.linalg.norm(v, axis=1, keepdims=True))
                 at = np.repeat(np.arange(own.num_rows), tables)
@@ -103,28 +103,32 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     def compared(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         functions: dict[int, Hashes] = {}
         for g in groups_of(frames):
-            if g.num_rows < 2:
-                continue
             block, t = g.column("block").to_numpy(), g.column("t")[0].as_py()
+            first, last = (int(x) for x in g.column("tile")[0].as_py().split("/")[3:5])
+            whole = first == last
+            x, y = np.flatnonzero(block == first), np.flatnonzero(block == last)
+            if not len(x) or not len(y) or whole and len(x) < 2:
+                continue
             n = g.column("n").to_numpy()
-            v = g.column("v").combine_chunks().flatten().to_numpy().reshape(g.num_rows, -1)
+            v = g.column("v").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(g.num_rows, -1)
             v = v / np.abs(v).max(axis=1, keepdims=True)
             norm = np.sqrt((v * v).sum(axis=1))
-            # two members of one block meet in the tile of that block with itself only
-            pair = np.ones((len(v), len(v)), bool) if len(np.unique(block)) == 1 and g.column("tile")[0].as_py().split("/")[3] == g.column("tile")[0].as_py().split("/")[4] else block[:, None] != block[None, :]
-            linked = pair & (v @ v.T / (norm[:, None] * norm[None, :]) >= cosine)
-            np.fill_diagonal(linked, False)
-            if t:
+            linked = v[x] @ v[y].T / (norm[x][:, None] * norm[y][None, :]) >= cosine
+            if whole:
+                np.fill_diagonal(linked, False)
+            if t and linked.any():  # pairs that meet in an earlier table count there
                 f = functions.setdefault(v.shape[1], Hashes(v.shape[1], tables, projections, width, seed))
                 own = f.keys(v / norm[:, None])
-                a, b = np.nonzero(linked)
-                met = (own[a, :t] == own[b, :t]).any(axis=1)
-                linked[a[met], b[met]] = False
-            some = np.flatnonzero(linked.any(axis=1))
-            if len(some):
-                c = g.column("c").combine_chunks()
-                least = _forest(linked)
-                yield pa.RecordBatch.from_arrays([c.take(pa.array(some)), pa.array((linked @ n)[some].astype(np.int64)), c.take(pa.array(least[some]))], ["a", "links", "b"])
+                for k in range(t):
+                    linked &= own[x, k][:, None] != own[y, k][None, :]
+            if not linked.any():
+                continue
+            c = g.column("c").combine_chunks()
+            least_x, least_y = _forest(linked, whole)
+            places = x if whole else np.concatenate([x, y])
+            for rows, least, sums in ((x, least_x, linked @ n[y]), *(() if whole else ((y, least_y, n[x] @ linked),))):
+                some = np.flatnonzero(sums)
+                yield pa.RecordBatch.from_arrays([c.take(pa.array(rows[some])), pa.array(sums[some].astype(np.int64)), c.take(pa.array(places[least[some]]))], ["a", "links", "b"])
 
     links, _ = stored(dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(compared, f"a {kind}, links bigint, b {kind}"))
     found, _ = components(links)
