@@ -299,3 +299,72 @@ def test_pipeline_judges_by_the_number_of_languages(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline.languages, "fit", lambda *a, **k: Ten())
     monkeypatch.setattr(corpus_pipeline.languages, "predict", lambda rows, model, keep: rows.select("row", F.lit("a").alias("lang_pred"), F.when(F.col("row.doc_id") == 1, 0.11).otherwise(0.2).alias("score")))
     assert [r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").orderBy("doc_id").collect()] == [0, 2]
+
+
+def test_the_whole_pipeline_by_brute_force(spark, tmp_path):
+    """run() on a table: what each stage keeps is worked out again from the stage before by plain Python."""
+    import corpus_pipeline
+    from tidemark.llm import languages
+    from tokenizers import Tokenizer
+
+    rows = [(i, t, "en" if i % 3 else None) for i, t in documents(spark)] + [(9000 + k, w, x) for k, (w, x) in enumerate([("der und die das ist nicht " * 9, "de"), ("et que les des une pour " * 9, "fr"), ("1234 5678", "en")])]
+    docs = spark.createDataFrame([(i, t, x, "s", len(t or "")) for i, t, x in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    model = languages.fit(docs)
+    least = corpus_pipeline.ODDS / (corpus_pipeline.ODDS + len(model.languages) - 1)
+    scores = {r.doc_id: (r.lang_pred, r.score) for r in languages.predict(docs, model).collect()}
+    kept = {i: t for i, t, _ in rows if scores[i][0] != "und" and scores[i][1] >= least}
+    parts = brute_jaccard([*kept.items()])
+    kept = {i: t for i, t in kept.items() if parts[i][1] == i}
+    counts = collections.Counter(t.encode()[k : k + 200] for t in kept.values() for k in range(len(t.encode()) - 199))
+    left = {}
+    for i, t in kept.items():
+        b = t.encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 199):
+            if counts[b[k : k + 200]] > 1:
+                gone[k : k + 200] = b"\x01" * 200
+        rest = bytes(x for x, g in zip(b, gone) if not g).decode("utf-8", "ignore")
+        if rest:
+            left[i] = rest
+    t = Tokenizer.from_file(TOKENIZER)
+    want = {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in left.items()}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {i: sum(r.length for r in got if r.doc_id == i) for i in {r.doc_id for r in got}} == want
+    fill = collections.Counter()
+    for r in got:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 1024 and len(fill) <= 1.02 * sum(want.values()) / 1024 + 2
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_recall_of_planted_links(spark):
+    """Pairs at cosines from 0.98 up, among unlike vectors: how many of them are found."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((1500, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.standard_normal((1500, 64))
+    other -= (other * base).sum(axis=1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = rng.uniform(0.981, 1.0, (1500, 1))
+    near = cosine * base + np.sqrt(1 - cosine**2) * other
+    rows = [(i, list(map(float, x)), 1) for i, x in enumerate(np.concatenate([base, near]))]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"))
+    found = got.filter("n_links > 0").count() / 3000
+    assert found >= 0.99
+
+
+def test_links_of_a_dense_cluster_over_tiles(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 8)
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal(16) + 0.01 * rng.standard_normal((50, 16))
+    rows = [(i, list(map(float, x)), 1) for i, x in enumerate(v)] + [(100 + i, list(map(float, v[i % 3])), 1) for i in range(9)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
+    assert {(r.n_links, r.component_id, r.kept) for r in got} == {(58, 0, True), (58, 0, False)} and sum(r.kept for r in got) == 1

@@ -355,3 +355,50 @@ def test_reputation_shrinks(spark):
     out = {r.host: (r.verdict, r.bound) for r in urls.judged(pages, labels).collect()}
     assert out["good.example.com"][0] == "allow" and out["bad.example.com"][0] == "block"
     assert max(out["bad.example.com"][1], out["new.example.com"][1]) < out["good.example.com"][1]  # a lower bound: low for bad hosts, and for unknown ones
+
+
+def test_language_model_by_direct_kernel_ridge():
+    """The fitted weights, against ridge regression on Nystroem features that are written out from plain sets of n-grams."""
+    random.seed(4)
+    words = {"x": ["alpha", "beta", "gamma"], "y": ["delta", "omega", "sigma"], "z": ["kappa", "theta", "zeta"]}
+    texts = [(" ".join(random.choices(words[k], k=6)), k) for k in "xyz" * 8]
+    sets = [languages.grams(t) for t, _ in texts]
+    model = languages.fit_model(sets, [k for _, k in texts], landmarks=9, ridge=1e-2)
+
+    def ngrams(t):
+        t = f" {t} "
+        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+    plain = [ngrams(t) for t, _ in texts]
+    k = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    marks = sorted(i for name in "xyz" for i in [j for j, (_, x) in enumerate(texts) if x == name][:3])
+    rows = np.array([[k(a, plain[m]) for m in marks] for a in plain])
+    assert np.allclose(model.kernel(sets), rows, atol=1e-5)
+    values, vectors = np.linalg.eigh(rows[marks] + 1e-6 * np.eye(9))
+    features = rows @ (vectors @ np.diag(np.maximum(values, 1e-6) ** -0.5) @ vectors.T)
+    y = np.array([[1.0 if x == name else -1.0 for name in "xyz"] for _, x in texts])
+    mean, middle = features.mean(axis=0), y.mean(axis=0)
+    w = np.linalg.solve((features - mean).T @ (features - mean) + 1e-2 * 24 * np.eye(9) / 9, (features - mean).T @ (y - middle))
+    assert np.allclose(model.scores(sets), (features - mean) @ w + middle, atol=2e-3)
+    assert [model.languages[i] for i in model.scores(sets).argmax(axis=1)] == [x for _, x in texts]
+
+
+def test_languages_of_odd_tables(spark):
+    rows = [(1, "one text", "en"), (1, "one text", "en"), (2, None, "en"), (3, "12 34", None), (4, "word " * 300_000, None), (5, "", "fr")]
+    df = spark.createDataFrame([(*r, 0.5, "clash") for r in rows], "doc_id int, text string, lang string, score double, lang_pred string")
+    got = sorted((r.doc_id, r.lang_pred) for r in languages.predict(df, languages.fit(df)).collect())
+    assert got == [(1, "en"), (1, "en"), (2, "und"), (3, "und"), (4, "en"), (5, "und")]
+    empty = df.limit(0)
+    assert languages.fit(empty) is None and languages.predict(empty, None).collect() == []
+    tie = languages.fit_model([languages.grams("abc"), languages.grams("abc")], ["q", "p"])
+    assert tie.languages[int(tie.scores([languages.grams("abc")]).argmax())] == "p"
+
+
+def test_urls_of_odd_hosts(spark):
+    urls_ = ["http://host/x", "https://10.0.0.1:8080/a?b", "http://a.b.co.uk/en/", "http://example.net:80/en/x", "HTTP://WWW.Example.NET/en/x", "http://" + "a." * 3000 + "org/fr/" + "y" * 100_000, "http://net", "http://", "nothing", None, "http://x.net#a://b", "http://user@example.com/de/1"]
+    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate([*urls_, urls_[0]])], "page_id bigint, url string, rule string")
+    good = spark.createDataFrame([(0, True), (12, False)], "page_id bigint, good boolean")
+    got = {r.page_id: r for r in urls.judged(df, good, RULES).collect()}
+    assert len(got) == 13 and [got[i].host for i in (0, 1, 2, 3, 4, 6, 7, 8, 9)] == ["host", "10.0.0.1:8080", "a.b.co.uk", "example.net:80", "www.example.net", "net", "", "", ""]
+    assert [got[i].rule for i in (4, 5)] == ["example.net/en/", "org/fr/"] and got[5].path.endswith("y" * 50) and got[6].rule is None
+    assert {got[i].verdict for i in got} <= {"allow", "block"} and got[0].verdict == got[12].verdict

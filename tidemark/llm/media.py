@@ -251,7 +251,11 @@ def shots(frames: list[np.ndarray], bins: int = 16, window: int = 6, factor: flo
 
 
 def store(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_bytes, media): every whole text, padded (see padded()), as an AVI file. Null and empty: one frame of bytes 255."""
+    """(key, n_bytes, media): every whole text, padded (see padded()), as an AVI file. Null and empty: one frame of bytes 255.
+
+    A file is smaller than 2 GB, which is the bound of a binary value in Spark and Arrow: a text of over about 1.2 GB is an
+    error, never a file that is cut.
+    """
     bounded_batches(df.sparkSession)
     schema = extended(df.select(key).schema, "n_bytes bigint, media binary")
 
