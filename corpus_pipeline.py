@@ -13,8 +13,8 @@ from tidemark.llm import jaccard, languages, packing, suffixes
 from tidemark.llm.common import numbered, removed, stored
 from tidemark.llm.queries import TOKENIZER, table
 
-#: Below this score a text counts as being in none of the languages: LEAST_LEAD times that of an even guess, at most LEAST_SCORE.
-LEAST_SCORE, LEAST_LEAD = 0.3, 1.2
+#: A text is in one of the languages if that one is so many times as likely as the others on the average, however many there are.
+ODDS = 9 / 7
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = languages.fit(docs.withColumn("_key", key), key="_key")
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    least = min(LEAST_SCORE, LEAST_LEAD / len(model.languages))
+    least = ODDS / (ODDS + len(model.languages) - 1)
     judged = languages.predict(rows, model, keep=("row",)).filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
     return judged.select(*(F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else f"row.{c}" for c in docs.columns))
 
