@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.scan import clipped_walk
+
 EPSILON = 1e-8
 
 
@@ -74,9 +77,92 @@ def difference_scale(train: DataFrame, keys: tuple[str, ...] = ("group",), time:
 
 
 def adaptive_levels(errors: DataFrame, target: float, step_size: float = 0.05, epsilon: float = 0.0, by: tuple[str, ...] = ("group",), time: str = "time") -> DataFrame:
-    """(by, time, alpha): alpha + step_size * (target - error), clipped to [epsilon, 1 - epsilon], before each observation. By a fold."""
-    clip = lambda a: F.greatest(F.lit(epsilon), F.least(F.lit(1 - epsilon), a))
-    rows = errors.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(time, "error"))).alias("_r"))
-    start = F.struct(F.lit(float(target)).alias("a"), F.array().cast("array<double>").alias("out"))
-    folded = F.aggregate("_r", start, lambda s, r: F.struct(clip(s["a"] + step_size * (target - r["error"])).alias("a"), F.concat(s["out"], F.array(s["a"])).alias("out")), lambda s: s["out"])
-    return rows.select(*by, F.explode(F.arrays_zip(F.col("_r"), folded.alias("alpha"))).alias("_z")).select(*by, F.col(f"_z._r.{time}").alias(time), F.col("_z.alpha").alias("alpha"))
+    """(by, time, alpha): alpha + step_size * (target - error), clipped to [epsilon, 1 - epsilon], before each observation."""
+    return clipped_walk(errors, step_size * (target - F.col("error")), target, epsilon, 1 - epsilon, by, time, "alpha")
+
+
+def warn_if_calibration_too_small(n_scores: int, rate: float, symmetric: bool, step: int) -> bool:
+    """Warns, and says so, where so few scores cannot express a coverage rate: the interval ends at the scores' own span."""
+    need = required_calibration_size(rate, symmetric) if rate < 1 else 0
+    if n_scores >= need:
+        return False
+    warnings.warn(f"a coverage of {rate} at step {step} needs {need} calibration scores a series, there are {n_scores}: the interval will cover less", UserWarning, stacklevel=2)
+    return True
+
+
+def effective_sizes(weights: DataFrame, by: tuple[str, ...], weight: str = "weight") -> DataFrame:
+    """(by, effective_size, collapsed): the squared sum of weights by the sum of their squares; collapsed below two."""
+    found = weights.groupBy(*by).agg(F.coalesce(F.try_divide(F.pow(F.sum(weight), F.lit(2.0)), F.sum(F.col(weight) * F.col(weight))), F.lit(0.0)).alias("effective_size"))
+    return found.withColumn("collapsed", F.col("effective_size") < 2)
+
+
+def warn_if_weights_collapsed(weights: DataFrame, by: tuple[str, ...], weight: str = "weight") -> int:
+    """Warns where queries lean on almost a single calibration row, and says how many do."""
+    n = effective_sizes(weights, by, weight).filter("collapsed").count()
+    if n:
+        warnings.warn(f"the similarity weights of {n} queries rest on fewer than two calibration rows; a larger bandwidth spreads them", UserWarning, stacklevel=2)
+    return n
+
+
+def global_calibration_weights(weights: DataFrame, n_columns: int, by: tuple[str, ...], weight: str = "weight") -> DataFrame:
+    """weights, one row for each of n_columns ("column"), over the scores of all columns together.
+
+    A query's weights w sum to less than one, as they hold back the mass of the query itself: w / (1 - sum w) undoes that
+    for one column, and the mass is held back again from the combined set.
+    """
+    w = Window.partitionBy(*by)
+    total = F.sum(weight).over(w)
+    raw = weights.withColumn("_raw", F.when(total >= 1, F.col(weight)).otherwise(F.col(weight) / (1 - total)))
+    raw = raw.withColumn(weight, F.col("_raw") / (F.sum("_raw").over(w) * n_columns + 1)).drop("_raw")
+    return raw.withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(n_columns - 1))))
+
+
+def diagnose_global_calibration(scores: DataFrame, step: int = 1, time: str = "time") -> DataFrame:
+    """One row: whether scores (group, step, time, score) of several series may be calibrated together.
+
+    cross_sectional_correlation: the mean correlation of two series' scores at the same time; effective_gain: how many
+    series' worth of scores they are then; score_heterogeneity: the 90th over the 10th percentile of mean absolute scores;
+    n_columns, n_times. The correlations' mean comes from sums over times, not from pairs: of unit-variance scores z, the sum
+    over pairs at a time is ((sum z)^2 - sum z^2) / 2. Scores are taken to be there for all series and times.
+    """
+    own = scores.filter(F.col("step") == step)
+    by = Window.partitionBy("group")
+    z = own.withColumn("_z", F.try_divide(F.col("score") - F.avg("score").over(by), F.stddev_pop("score").over(by)))
+    at = z.groupBy(time).agg(F.sum("_z").alias("_s"), F.sum(F.col("_z") * F.col("_z")).alias("_q"), F.count("_z").alias("_n"))
+    pairs = at.agg((F.sum((F.col("_s") * F.col("_s") - F.col("_q"))) / F.sum(F.col("_n") * (F.col("_n") - 1))).alias("cross_sectional_correlation"), F.count("*").alias("n_times"))
+    size = own.groupBy("group").agg(F.avg(F.abs("score")).alias("_m"))
+    spread = size.agg(F.try_divide(F.percentile("_m", F.lit(0.9)), F.percentile("_m", F.lit(0.1))).alias("score_heterogeneity"), F.count("*").alias("n_columns"))
+    rho = F.greatest(F.col("cross_sectional_correlation"), F.lit(0.0))
+    both = pairs.crossJoin(spread)  # one row each
+    return both.withColumn("effective_gain", F.col("n_columns") / (1 + (F.col("n_columns") - 1) * rho))
+
+
+class QuantileConformity:
+    """The contract of conformity scores of interval forecasts: score(rows) and interval(rows, low, high) are the user's."""
+
+    symmetric = False
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        raise NotImplementedError
+
+    def interval(self, rows: DataFrame, low: Column, high: Column) -> DataFrame:
+        raise NotImplementedError
+
+
+class QuantileResidual(QuantileConformity):
+    """How far y is beyond the nearer bound, below zero inside: max(lower - y, y - upper); bounds move out by it."""
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("score", F.greatest(F.col("lower") - F.col("y"), F.col("y") - F.col("upper")))
+
+    def interval(self, rows: DataFrame, low: Column, high: Column) -> DataFrame:
+        return rows.withColumns({"lower": F.col("lower") - high, "upper": F.col("upper") + high})
+
+
+class AbsoluteQuantileResidual(QuantileResidual):
+    """The same without credit for y inside the bounds."""
+
+    symmetric = True
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        return super().score(rows).withColumn("score", F.greatest("score", F.lit(0.0)))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.operators.intervals import Interval
@@ -25,15 +25,15 @@ def aligned(truth: DataFrame, forecast: DataFrame, interval: str = "1d", keys: t
 
 
 def without_partial_vintage(rows: DataFrame) -> DataFrame:
-    """Drops the last of at least three vintages if it comes sooner after the one before than vintages mostly do (ties: the smaller gap)."""
-    w = Window.orderBy("vintage_time")
-    vintages = rows.select("vintage_time").distinct()
-    gaps = vintages.withColumn("gap", F.unix_micros(F.col("vintage_time").cast("timestamp")) - F.unix_micros(F.lag("vintage_time").over(w).cast("timestamp")))
-    last = gaps.orderBy(F.desc("vintage_time")).limit(1).collect()
-    if not last or gaps.limit(3).count() < 3:
-        return rows
-    mode = gaps.filter("gap is not null").groupBy("gap").count().orderBy(F.desc("count"), "gap").first()["gap"]
-    return rows.filter(F.col("vintage_time") < F.lit(last[0]["vintage_time"])) if last[0]["gap"] < mode else rows
+    """Drops the last of at least three vintages if it comes sooner after the one before than vintages mostly do (ties: the
+    smaller gap). Lazy: the distinct vintages, one aggregate row and a join; rows are scanned once more, never collected."""
+    vintages = rows.select("vintage_time").distinct().groupBy().agg(F.array_sort(F.collect_list(F.unix_micros(F.col("vintage_time").cast("timestamp")))).alias("_v"))
+    gaps = F.transform(F.sequence(F.lit(2), F.size("_v")), lambda i: F.element_at("_v", i) - F.element_at("_v", i - 1))
+    found = vintages.filter(F.size("_v") >= 3).select(F.element_at("_v", -1).alias("_last"), gaps.alias("_g"))
+    often = found.select("_last", F.element_at("_g", -1).alias("_gap"), F.explode("_g").alias("_g")).groupBy("_last", "_gap", "_g").agg(F.count("*").alias("_n"))
+    often = often.groupBy("_last", "_gap").agg(F.max(F.struct("_n", (-F.col("_g")).alias("_g"))).alias("_m"))
+    partial = often.filter(F.col("_gap") < -F.col("_m._g")).select(F.timestamp_micros("_last").cast(rows.schema["vintage_time"].dataType).alias("vintage_time"))
+    return rows.join(partial, "vintage_time", "left_anti")
 
 
 def _y() -> tuple[Column, Column]:
@@ -89,8 +89,8 @@ POINT = {
         Metric("mae", lambda: F.abs(F.col("y") - F.col("y_hat"))),
         Metric("mse", lambda: F.pow(F.col("y") - F.col("y_hat"), F.lit(2.0))),
         Metric("rmse", lambda: F.pow(F.col("y") - F.col("y_hat"), F.lit(2.0)), F.sqrt),
-        Metric("mape", lambda: 100 * F.abs(F.col("y") - F.col("y_hat")) / F.greatest(F.abs("y"), F.lit(_EPS))),
-        Metric("smape", lambda: 100 * F.abs(F.col("y") - F.col("y_hat")) / F.greatest((F.abs("y") + F.abs("y_hat")) / 2, F.lit(_EPS))),
+        Metric("mape", lambda: 100 * F.abs(F.col("y") - F.col("y_hat")) / (F.abs("y") + _EPS)),
+        Metric("smape", lambda: 100 * F.abs(F.col("y") - F.col("y_hat")) / ((F.abs("y") + F.abs("y_hat")) / 2 + _EPS)),
         Metric("mase", _scaled(1)),
         Metric("rmsse", _scaled(2), F.sqrt),
         Metric("median_ae", lambda: F.lit(None), whole=lambda: F.median(F.abs(F.col("y") - F.col("y_hat")))),
@@ -123,36 +123,64 @@ def with_directions(rows: DataFrame) -> DataFrame:
     return rows.withColumn("same_direction", same.cast("double")).filter("same_direction is not null")
 
 
+def normalised_weight(weight: Column, rows: WindowSpec) -> Column:
+    """weight scaled to a mean of one over the rows of a window."""
+    return weight * F.count(weight).over(rows) / F.sum(weight).over(rows)
+
+
+def _by_name(weights: dict[str, float] | None, name: str) -> Column:
+    """The weight of a name; one without weights, none for names that have none."""
+    if not weights:
+        return F.lit(1.0)
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for k, v in weights.items() for x in (k, float(v)))), F.col(name)), F.lit(0.0))
+
+
 @dataclass
 class Collapse:
-    """Which dimensions are averaged away, with optional weights of groups and components (name -> weight)."""
+    """Which dimensions are averaged away, with optional weights.
+
+    weight: columns of row weights (by time, by step); each is scaled to a mean of one over the rows of its group, component
+    and rate before it multiplies the errors. vintage_weight: a column, constant in a vintage, for the mean over vintages.
+    rate_weights: of coverage rates (name -> weight; one for rates without). group_weights, component_weights: by name.
+    """
 
     over: tuple[str, ...] = EVERY
     group_weights: dict[str, float] | None = None
     component_weights: dict[str, float] | None = None
-    weight: str | None = field(default=None)  # a column of row weights
+    weight: str | tuple[str, ...] | None = field(default=None)
+    vintage_weight: str | None = None
+    rate_weights: dict[float, float] | None = None
 
     def apply(self, rows: DataFrame, metric: Metric) -> DataFrame:
         keep = [c for c in ("group", "component", "vintage_time", "step", "time", "coverage_rate") if c in rows.columns]
         step, vintage = "step" in self.over, "vintage" in self.over
-        value = metric.error() if self.weight is None else metric.error() * F.col(self.weight)
+        value = metric.error()
+        own = Window.partitionBy(*(c for c in ("group", "component", "coverage_rate") if c in keep))
+        for w in (self.weight,) if isinstance(self.weight, str) else self.weight or ():
+            value = value * normalised_weight(F.col(w).cast("double"), own)
+        extra = [self.vintage_weight] if self.vintage_weight and "vintage_time" in keep else []
         if "coverage_rate" in keep and "rate" in self.over:
-            rows = rows.withColumn("_e", value)
+            w = F.lit(1.0) if not self.rate_weights else F.coalesce(_by_name({str(k): v for k, v in self.rate_weights.items()}, "_rate"), F.lit(1.0))
+            rows = rows.withColumns({"_e": value, "_rate": F.col("coverage_rate").cast("string")}).withColumn("_cw", w)
             keep.remove("coverage_rate")
-            rows, value = rows.groupBy(*keep).agg(F.avg("_e").alias("_e")), F.col("_e")
+            rows, value = rows.groupBy(*keep, *extra).agg((F.sum(F.col("_e") * F.col("_cw")) / F.sum(F.when(F.col("_e").isNotNull(), F.col("_cw")))).alias("_e")), F.col("_e")
+        elif self.weight:
+            rows, value = rows.withColumn("_e", value), F.col("_e")
         gone = {"time"} | ({"step"} if step else {"vintage_time"} if vintage else set()) if step or vintage else set()
         keep = [c for c in keep if c not in gone]
-        out = rows.groupBy(*keep).agg((F.avg(value) if metric.whole is None else metric.whole()).alias("_v"))
+        extra = extra if "vintage_time" in keep else []
+        out = rows.groupBy(*keep).agg((F.avg(value) if metric.whole is None else metric.whole()).alias("_v"), *(F.first(c).alias(c) for c in extra))
         for name, weights in (("component", self.component_weights), ("group", self.group_weights)):
             if name in self.over and name in keep:
                 keep.remove(name)
-                w = F.lit(1.0) if not weights else F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for k, v in weights.items() for x in (k, float(v)))), F.col(name)), F.lit(0.0))
-                out = out.groupBy(*keep).agg((F.sum(F.col("_v") * w) / F.sum(w)).alias("_v"))
+                w = _by_name(weights, name)
+                out = out.groupBy(*keep).agg((F.sum(F.col("_v") * w) / F.sum(w)).alias("_v"), *(F.first(c).alias(c) for c in extra))
         out = out.withColumn("_v", metric.transform(F.col("_v")))
         if vintage and "vintage_time" in keep:
             keep.remove("vintage_time")
-            out = out.groupBy(*keep).agg(F.avg("_v").alias("_v"))
-        return out.withColumnRenamed("_v", metric.name)
+            w = F.col(extra[0]) if extra else F.lit(1.0)
+            out = out.groupBy(*keep).agg((F.sum(F.col("_v") * w) / F.sum(w)).alias("_v"))
+        return out.drop(*extra).withColumnRenamed("_v", metric.name)
 
 
 def point_score(rows: DataFrame, name: str, over: tuple[str, ...] = EVERY, **options) -> DataFrame:
@@ -163,18 +191,77 @@ def interval_score(rows: DataFrame, name: str, over: tuple[str, ...] = EVERY, **
     return Collapse(over, **options).apply(rows, INTERVAL[name])
 
 
+def _rates(rows: DataFrame) -> list[float]:
+    """The coverage rates of a table, in order: at most a few hundred by what they are."""
+    rates = sorted(r[0] for r in rows.select("coverage_rate").distinct().collect())
+    if len(rates) < 2:
+        raise ValueError(f"at least two coverage rates are needed; there are {len(rates)}")
+    return rates
+
+
 def calibration_error(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """The mean over rates of |share covered - rate|."""
+    """The mean over rates (two at least) of |share covered - rate|."""
+    _rates(rows)
     rates = rows.groupBy(*by, "coverage_rate").agg(F.abs(F.avg(_covered()) - F.col("coverage_rate")).alias("_e"))
     return rates.groupBy(*by).agg(F.avg("_e").alias("calibration_error"))
 
 
-def crps(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """The mean over rates, then rows, of half the pinball losses."""
-    per_row = rows.groupBy("group", "component", "vintage_time", "time").agg(F.avg(_pinballs() / 2).alias("_e"))
+def trapezoidal_weights(rates: list[float]) -> dict[float, float]:
+    """Of each rate: the widths of the cells around its two quantile levels, cells being cut halfway between neighbours in [0, 1]."""
+    levels = sorted([(1 - r) / 2 for r in rates] + [(1 + r) / 2 for r in rates])
+    edges = [0.0, *((a + b) / 2 for a, b in zip(levels, levels[1:])), 1.0]
+    width = {t: edges[i + 1] - edges[i] for i, t in enumerate(levels)}
+    return {r: width[(1 - r) / 2] + width[(1 + r) / 2] for r in rates}
+
+
+def crps(rows: DataFrame, by: tuple[str, ...] = (), integration: str = "mean") -> DataFrame:
+    """The mean over rates (two at least; integration "trapezoidal": weighted by their cells), then rows, of half the pinball losses."""
+    rates = _rates(rows)
+    weights = dict.fromkeys(rates, 1.0) if integration == "mean" else trapezoidal_weights(rates)
+    w = F.element_at(F.create_map(*(F.lit(x) for k, v in weights.items() for x in (k, float(v)))), F.col("coverage_rate"))
+    per_row = rows.groupBy("group", "component", "vintage_time", "time").agg((F.sum(_pinballs() / 2 * w) / F.sum(w)).alias("_e"))
     return per_row.groupBy(*by).agg(F.avg("_e").alias("crps"))
 
 
+#: Names of scorers, and whether less is better.
+SCORERS = {m.name: m.lower_is_better for m in (*POINT.values(), *INTERVAL.values())} | {"calibration_error": True, "crps": True, "log_loss": True, "brier_score": True, "ranked_probability_score": True, "accuracy": False, "precision": False, "recall": False, "f_beta": False, "roc_auc": False, "pr_auc": False}
+
+
+@dataclass(frozen=True)
+class Scorer:
+    """A scorer by name, with its options: score(rows) gives its one-row (or by dimension) table, signed() so that more is better."""
+
+    name: str
+    options: dict = field(default_factory=dict)
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        if self.name in POINT:
+            return point_score(rows, self.name, **self.options)
+        if self.name in INTERVAL:
+            return interval_score(rows, self.name, **self.options)
+        if self.name in ("calibration_error", "crps"):
+            return {"calibration_error": calibration_error, "crps": crps}[self.name](rows, **self.options)
+        family = proba_scores if self.name in ("log_loss", "brier_score", "ranked_probability_score") else ranking_scores if self.name.endswith("auc") else hard_label_scores
+        found = family(rows, **self.options)
+        others = {"log_loss", "brier_score", "ranked_probability_score", "accuracy", "precision", "recall", "f_beta", "roc_auc", "pr_auc"} - {self.name}
+        return found.drop(*others)
+
+    def signed(self, rows: DataFrame) -> DataFrame:
+        out = self.score(rows)
+        return out.withColumn(self.name, -F.col(self.name)) if SCORERS[self.name] else out
+
+
+def get_scorer(name: str) -> Scorer:
+    """The scorer of a name with its default options; a name without a scorer is an error that lists them."""
+    return make_scorer(name)
+
+
+def make_scorer(name: str, **options) -> Scorer:
+    if name not in SCORERS:
+        raise ValueError(f"no scorer {name!r}; there are {', '.join(sorted(SCORERS))}")
+    return Scorer(name, options)
+
+
 # --- class probabilities: long rows (id..., label, p, y) with y the true label -----------------------------------
 
 

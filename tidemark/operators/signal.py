@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.base import Operator
@@ -52,20 +52,87 @@ def design(kind: str, mode: str, order: int, cutoff: float | tuple[float, float]
     return gain * np.poly(z).real, np.poly(p).real
 
 
-def filtered(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """The causal filter's output, from rest."""
-    state, out = np.zeros(len(a) - 1), np.empty(len(x))
-    for i, v in enumerate(x):
-        y = b[0] * v + state[0]
-        state[:-1] = state[1:] + b[1:-1] * v - a[1:-1] * y
-        state[-1] = b[-1] * v - a[-1] * y
-        out[i] = y
-    return out
+def filtered(x: np.ndarray, b: np.ndarray, a: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The causal filter's output along the last axis of x, rows side by side, and its state at the end. From rest where no
+    state (rows x order) is given."""
+    x = np.atleast_2d(x)
+    state = np.zeros((len(x), len(a) - 1)) if state is None else state.copy()
+    out = np.empty(x.shape)
+    for i in range(x.shape[1]):
+        v = x[:, i]
+        y = b[0] * v + state[:, 0]
+        state[:, :-1] = state[:, 1:] + np.outer(v, b[1:-1]) - np.outer(y, a[1:-1])
+        state[:, -1] = b[-1] * v - a[-1] * y
+        out[:, i] = y
+    return out, state
+
+
+#: Rows of a filter's chunk.
+CHUNK = 256
+
+
+def chunked_filter(df: DataFrame, columns: list[str], b: np.ndarray, a: np.ndarray, keys: tuple[str, ...], time: str, size: int = CHUNK) -> DataFrame:
+    """(keys, time, {c}_filtered). Chunks are filtered from rest, many side by side in one batch; the states between them are
+    composed over a series' chunks by the filter's own transition matrix, and each chunk then gets what its first state adds."""
+    keys, order = list(keys), max(len(a), len(b)) - 1
+    b, a = (np.concatenate([np.asarray(c, float), np.zeros(order + 1 - len(c))]) / a[0] for c in (b, a))
+    turn = np.zeros((order, order))  # the state after one sample of nothing
+    turn[:, 0] = -a[1:]
+    turn[np.arange(order - 1), np.arange(1, order)] = 1
+    answers = np.empty((size, order))  # what a state adds to the samples after it
+    power = np.eye(order)
+    powers = [power]
+    for i in range(size):
+        answers[i] = power[0]
+        power = turn @ power
+        powers.append(power)
+
+    w = Window.partitionBy(*keys).orderBy(time)
+    rows = df.select(*keys, time, *(F.col(c).cast("double").alias(c) for c in columns), F.floor((F.row_number().over(w) - 1) / size).cast("int").alias("_chunk"))
+    chunks = rows.groupBy(*keys, "_chunk").agg(F.array_sort(F.collect_list(F.struct(time, *columns))).alias("_r"))
+    kept = chunks.select(*keys, "_chunk", F.col(f"_r.{time}").alias("_t"), *(F.col(f"_r.{c}").alias(f"_x{i}") for i, c in enumerate(columns)))
+
+    @F.pandas_udf("struct<y:array<double>,s:array<double>>")
+    def rest(found: pd.Series) -> pd.DataFrame:
+        y, s = [None] * len(found), [None] * len(found)
+        lengths = found.map(len).to_numpy()
+        for n in np.unique(lengths):
+            at = np.flatnonzero(lengths == n)
+            out, state = filtered(np.array([np.array(found.iloc[i], float) for i in at]).reshape(len(at), n), b, a)
+            for j, i in enumerate(at):
+                y[i], s[i] = out[j], state[j]
+        return pd.DataFrame({"y": y, "s": s})
+
+    solved = kept.select(*keys, "_chunk", "_t", *(rest(f"_x{i}").alias(f"_y{i}") for i in range(len(columns))))
+    ends = solved.select(*keys, "_chunk", F.size("_t").alias("_n"), *(F.col(f"_y{i}.s").alias(f"_s{i}") for i in range(len(columns))))
+    index = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def carried(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("_chunk")
+        out = {}
+        for i in range(len(columns)):
+            state, before = np.zeros(order), []
+            for n, s in zip(own["_n"], own[f"_s{i}"]):
+                before.append(state)
+                state = powers[n] @ state + np.asarray(s)
+            out[f"_s{i}"] = before
+        return own[[*keys, "_chunk"]].assign(**out)
+
+    states = ends.groupBy(*keys).applyInPandas(carried, index + ", _chunk int" + "".join(f", _s{i} array<double>" for i in range(len(columns))))
+
+    @F.pandas_udf("array<double>")
+    def finished(y: pd.Series, s: pd.Series) -> pd.Series:
+        return pd.Series([np.asarray(v) + answers[: len(v)] @ np.asarray(z) for v, z in zip(y, s)])
+
+    done = solved.join(states, [*keys, "_chunk"]).select(*keys, "_t", *(finished(F.col(f"_y{i}.y"), F.col(f"_s{i}")).alias(f"_z{i}") for i in range(len(columns))))
+    out = done.select(*keys, F.explode(F.arrays_zip("_t", *(f"_z{i}" for i in range(len(columns))))).alias("_e"))
+    return out.select(*keys, F.col("_e._t").alias(time), *(F.col(f"_e._z{i}").alias(f"{c}_filtered") for i, c in enumerate(columns)))
 
 
 @dataclass
 class NumericalFilter(Operator):
-    """{c}_filtered by a designed filter, or by given coefficients (b, a). One Arrow batch a series."""
+    """{c}_filtered by a designed filter, or by given coefficients (b, a), in chunks of rows. zero_phase: forwards and then
+    backwards, from rest at both ends."""
 
     design: str = "butterworth"
     mode: str = "lowpass"
@@ -73,17 +140,17 @@ class NumericalFilter(Operator):
     cutoff: float | tuple[float, float] = 0.1
     ripple: float = 1.0
     coefficients: tuple | None = None
+    zero_phase: bool = False
 
     def transform(self, df: DataFrame) -> DataFrame:
         b, a = map(np.asarray, self.coefficients) if self.coefficients else design(self.design, self.mode, self.order, self.cutoff, self.ripple)
-        columns, index, time = self.values(df), self.index(), self.time
-
-        def run(own: pd.DataFrame) -> pd.DataFrame:
-            own = own.sort_values(time)
-            return own[index].assign(**{f"{c}_filtered": filtered(own[c].to_numpy(float), b, a) for c in columns})
-
-        schema = ", ".join([*(f"{c} {df.schema[c].dataType.simpleString()}" for c in index), *(f"{c}_filtered double" for c in columns)])
-        return df.groupBy(*self.keys).applyInPandas(run, schema)
+        columns = self.values(df)
+        out = chunked_filter(df, columns, b, a, self.keys, self.time)
+        if not self.zero_phase:
+            return out
+        back = out.select(*self.keys, F.col(self.time).alias("_t"), (-F.unix_micros(F.col(self.time).cast("timestamp"))).alias("_back"), *(F.col(f"{c}_filtered").alias(c) for c in columns))
+        again = chunked_filter(back, columns, b, a, self.keys, "_back")
+        return again.join(back.select(*self.keys, "_t", "_back"), [*self.keys, "_back"]).select(*self.keys, F.col("_t").alias(self.time), *(f"{c}_filtered" for c in columns))
 
 
 @dataclass

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.operators.base import Operator, numbered
+from tidemark.operators.scan import linear_scan
 
 
 @dataclass
@@ -90,13 +91,9 @@ class HorizonRollingStatistics(Operator):
         return df.select(*self.index(), *made, "_rn").filter(F.col("_rn") >= n * k - 1).drop("_rn")
 
 
-def _member(c: str) -> Callable[[Column], Column]:
-    return lambda row: row[c].cast("double")
-
-
 @dataclass
 class ExponentialMovingAverage(Operator):
-    """{c}_ewma. By a fold over each series in the JVM; adjust weighs by the decayed sum of weights.
+    """{c}_ewma, by a recurrence over chunks in the JVM; adjust weighs by the decayed sum of weights.
 
     A null keeps the last value; with ignore_nulls=False it also lets weights decay.
     """
@@ -106,58 +103,82 @@ class ExponentialMovingAverage(Operator):
     ignore_nulls: bool = True
 
     def transform(self, df: DataFrame) -> DataFrame:
-        columns = self.values(df)
-        rows = df.groupBy(*self.keys).agg(F.array_sort(F.collect_list(F.struct(self.time, *columns))).alias("_rows"))
-        keep = 1 - self.alpha
-        for c in columns:
-            rows = rows.withColumn(f"_{c}", self._fold(F.transform("_rows", _member(c)), keep))
-        zipped = F.arrays_zip(F.col("_rows"), *(F.col(f"_{c}") for c in columns))
-        return rows.select(*self.keys, F.explode(zipped).alias("_r")).select(*self.keys, F.col(f"_r._rows.{self.time}").alias(self.time), *(F.col(f"_r._{c}").alias(f"{c}_ewma") for c in columns))
-
-    def _fold(self, xs: Column, keep: float) -> Column:
-        own = 1.0 if self.adjust else self.alpha
-        start = F.struct(F.lit(None).cast("double").alias("m"), F.lit(0.0).alias("w"), F.array().cast("array<double>").alias("out"))
-
-        def step(s: Column, x: Column) -> Column:
-            decayed = s["w"] * keep
-            mean = F.when(s["m"].isNull(), x).when(x.isNull(), s["m"]).otherwise((decayed * s["m"] + own * x) / (decayed + own))
-            weight = F.when(x.isNull(), s["w"] if self.ignore_nulls else decayed).when(s["m"].isNull() | F.lit(not self.adjust), 1.0).otherwise(decayed + own)
-            return F.struct(mean.alias("m"), weight.alias("w"), F.concat(s["out"], F.array(mean)).alias("out"))
-
-        return F.aggregate(xs, start, step, lambda s: s["out"])
+        w, columns, scans = self.by_time(), self.values(df), {}
+        rows = df.select(*self.index(), *columns)
+        for i, c in enumerate(columns):
+            x, keep = F.col(c).cast("double"), F.lit(1 - self.alpha)
+            there, own = x.isNotNull(), F.lit(1.0 if self.adjust else self.alpha)
+            rows = rows.withColumn(f"_n{i}", F.count(c).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+            first = there & (F.col(f"_n{i}") == 1)
+            if self.adjust or self.ignore_nulls:  # a weighted mean: sums of weighted values and of weights decay alike
+                decay = F.when(there | F.lit(not self.ignore_nulls), keep).otherwise(1.0)
+                weight = F.when(~there, 0.0).when(first, 1.0).otherwise(own)
+                scans[f"_v{i}"], scans[f"_w{i}"] = (decay, F.coalesce(weight * x, F.lit(0.0))), (decay, weight)
+            else:  # weights begin anew at every value, after what the nulls before it took away
+                rows = rows.withColumn(f"_at{i}", F.row_number().over(w))
+                last = F.last(F.when(there, F.col(f"_at{i}")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+                rows = rows.withColumn(f"_gap{i}", F.col(f"_at{i}") - last)
+                old = F.pow(keep, F.col(f"_gap{i}").cast("double"))
+                share = F.when(~there, 1.0).when(first, 0.0).otherwise(old / (old + self.alpha))
+                scans[f"_v{i}"] = (F.coalesce(share, F.lit(1.0)), F.when(there, F.when(first, x).otherwise((1 - share) * x)).otherwise(0.0))
+        made = linear_scan(rows, scans, self.keys, self.time)
+        if f"_w{0}" in scans:
+            return made.select(*self.index(), *(F.try_divide(f"_v{i}", f"_w{i}").alias(f"{c}_ewma") for i, c in enumerate(columns)))
+        seen = made.join(rows.select(*self.index(), *(f"_n{i}" for i in range(len(columns)))), self.index())
+        return seen.select(*self.index(), *(F.when(F.col(f"_n{i}") > 0, F.col(f"_v{i}")).alias(f"{c}_ewma") for i, c in enumerate(columns)))
 
 
 @dataclass
 class SlidingWindowFunction(Operator):
-    """func(frame of the last window_size rows) -> dict, for any Python function; one Arrow batch a series."""
+    """func(frame of the last window_size rows) -> dict, for any Python function.
+
+    Rows go to Python in chunks of `chunk` ends, each with the rows before it that its windows need, so that a long series
+    is many tasks' work and no task holds more than chunk + window_size rows of it.
+    """
 
     func: Callable[[pd.DataFrame], dict] = field(default=lambda rows: {})
     window_size: int = 1
     schema: str = ""
+    chunk: int = 4096
 
     def transform(self, df: DataFrame) -> DataFrame:
-        n, time, func, keys = self.window_size, self.time, self.func, list(self.keys)
+        n, time, func, keys, chunk = self.window_size, self.time, self.func, list(self.keys), max(self.chunk, self.window_size)
+        rows = numbered(df, self).withColumn("_part", F.floor(F.col("_rn") / chunk))
+        near = F.when(F.col("_rn") % chunk >= chunk - n + 1, F.array(F.col("_part"), F.col("_part") + 1)).otherwise(F.array("_part"))
+        rows = rows.withColumn("_part", F.explode(near))
+        names = [x.split()[0] for x in self.schema.split(",")]
 
         def run(own: pd.DataFrame) -> pd.DataFrame:
             own = own.sort_values(time)
-            made = [{**own.iloc[i][[*keys, time]].to_dict(), **func(own.iloc[i - n + 1 : i + 1])} for i in range(n - 1, len(own))]
-            return pd.DataFrame(made, columns=[*keys, time, *(x.split()[0] for x in self.schema.split(","))])
+            first = int(own["_part"].iloc[0]) * chunk
+            begin = int(own["_rn"].iloc[0])
+            shown, made = own.drop(columns=["_rn", "_part"]), []
+            for i in range(max(n - 1, first - begin), len(own)):
+                made.append({**{k: own[k].iloc[i] for k in (*keys, time)}, **func(shown.iloc[i - n + 1 : i + 1])})
+            return pd.DataFrame(made, columns=[*keys, time, *names])
 
         index = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in self.index())
-        return df.groupBy(*self.keys).applyInPandas(run, f"{index}, {self.schema}")
+        return rows.groupBy(*keys, "_part").applyInPandas(run, f"{index}, {self.schema}")
 
 
 @dataclass
 class Integrator(Operator):
-    """{c}_integrated: the cumulative trapezoid with the grid's step in seconds."""
+    """{c}_integrated: the cumulative integral with the grid's step in seconds, by trapezoids, or by parabolas through three
+    rows each ("simpson": intervals of even place with the two rows that follow, the others with the one before)."""
 
     seconds: float = 86400.0
+    method: str = "trapezoid"
 
     def transform(self, df: DataFrame) -> DataFrame:
-        w = self.by_time()
-        out = df
+        w, out = self.by_time(), numbered(df, self).withColumn("_n", F.count("*").over(self.whole()))
         for c in self.values(df):
-            out = out.withColumn(f"_{c}", F.coalesce((F.col(c) + F.lag(c).over(w)) / 2 * self.seconds, F.lit(0.0)))
+            at = lambda k, c=c: F.lead(c, k).over(w) if k > 0 else F.lag(c, -k).over(w)
+            area = (F.col(c) + at(-1)) / 2  # of the interval that ends at the row
+            if self.method == "simpson":
+                ahead, behind = (1.25 * at(-1) + 2 * F.col(c) - 0.25 * at(1)) / 3, (1.25 * F.col(c) + 2 * at(-1) - 0.25 * at(-2)) / 3
+                parabola = F.when((F.col("_rn") % 2 == 1) & (F.col("_rn") < F.col("_n") - 1), ahead).otherwise(behind)
+                area = F.when(F.col("_n") >= 3, parabola).otherwise(area)
+            out = out.withColumn(f"_{c}", F.when(F.col("_rn") == 0, 0.0).otherwise(F.coalesce(area * self.seconds, F.lit(0.0))))
         return out.select(*self.index(), *(F.sum(f"_{c}").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"{c}_integrated") for c in self.values(df)))
 
 

@@ -73,7 +73,7 @@ def series_lengths(spark, d):
     return monthly(spark, d).groupBy("group").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH {MONTHLY}, n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY time DESC) - 1 AS b, count(*) OVER (PARTITION BY g) AS n, date_diff('month', min(time) OVER (PARTITION BY g), time) AS t FROM monthly), l AS (SELECT g, regr_slope(y, t) AS s, regr_intercept(y, t) AS i FROM n GROUP BY g), p AS (SELECT g, b % 12 AS k, avg(y) AS v FROM n WHERE b < n - n % 12 GROUP BY 1, 2) SELECT n.g AS \"group\", {r('avg(abs(y - i - s * t))', 'trend_mae')}, {r('avg(abs(y - v))', 'pattern_mae')} FROM n JOIN l ON l.g = n.g JOIN p ON p.g = n.g AND p.k = b % 12 GROUP BY n.g")
 def decomposed_forecast_scores(spark, d):
     """In-sample error of a trend, as a check that needs no forecast."""
     rows = monthly(spark, d)

@@ -8,7 +8,7 @@ from tidemark.functions import analytics as an
 from tidemark.metrics import conformity as cf
 from tidemark.metrics import scores as sc
 from tidemark.models import forecasters as fc
-from tidemark.plans.registry import BY, DAILY, KEY, MONTHLY, daily, monthly, query, r, table
+from tidemark.plans.registry import BY, DAILY, KEY, MONTHLY, daily, fitted, monthly, query, r, table
 from tidemark.selection import search as se
 
 M = f"WITH {MONTHLY}, mn AS (SELECT *, row_number() OVER ({BY}) AS rn, count(*) OVER (PARTITION BY g) AS n, min(time) OVER (PARTITION BY g) AS t0, max(time) OVER (PARTITION BY g) AS t1 FROM monthly)"
@@ -31,8 +31,8 @@ _ERRORS = {
     "mae": ("abs(y - f)", "e"),
     "mse": ("(y - f) * (y - f)", "e"),
     "rmse": ("(y - f) * (y - f)", "sqrt(e)"),
-    "mape": ("100 * abs(y - f) / greatest(abs(y), 1e-8)", "e"),
-    "smape": ("100 * abs(y - f) / greatest((abs(y) + abs(f)) / 2, 1e-8)", "e"),
+    "mape": ("100 * abs(y - f) / (abs(y) + 1e-8)", "e"),
+    "smape": ("100 * abs(y - f) / ((abs(y) + abs(f)) / 2 + 1e-8)", "e"),
     "mase": ("abs(y - f) / greatest(scale, 1e-10)", "e"),
     "rmsse": ("(y - f) * (y - f) / greatest(scale, 1e-10)", "sqrt(e)"),
 }
@@ -82,9 +82,9 @@ for _k, (_over, _cols, _by) in _MODES.items():
     query(_sql, f"score_mode_{_k}")(lambda spark, d, over=_over: sc.point_score(rolled(spark, d), "mae", over=over))
 
 
-@query(f"{ROLLED}, a AS (SELECT g, vt, avg(abs(y - f) * (step * 3.0 / 6.0)) AS e FROM rolled GROUP BY 1, 2), b AS (SELECT vt, sum(e * CASE left(g, 1) WHEN '1' THEN 2.0 ELSE 1.0 END) / sum(CASE left(g, 1) WHEN '1' THEN 2.0 ELSE 1.0 END) AS e FROM a GROUP BY 1) SELECT {r('avg(e)', 'mae')} FROM b")
+@query(f"{ROLLED}, a AS (SELECT g, vt, avg(abs(y - f) * step * k) AS e FROM rolled JOIN (SELECT g, count(*) / sum(step) AS k FROM rolled GROUP BY g) USING (g) GROUP BY 1, 2), b AS (SELECT vt, sum(e * CASE left(g, 1) WHEN '1' THEN 2.0 ELSE 1.0 END) / sum(CASE left(g, 1) WHEN '1' THEN 2.0 ELSE 1.0 END) AS e FROM a GROUP BY 1) SELECT {r('avg(e)', 'mae')} FROM b")
 def score_weighted(spark, d):
-    rows = rolled(spark, d).withColumns({"w": F.col("step") * 3.0 / 6.0, "group": F.substring("group", 1, 1)})
+    rows = rolled(spark, d).withColumns({"w": F.col("step"), "group": F.substring("group", 1, 1)})
     return sc.point_score(rows, "mae", weight="w", group_weights={"1": 2.0, "2": 1.0, "3": 1.0, "4": 1.0, "5": 1.0})
 
 
@@ -207,7 +207,7 @@ def forecast_trend_pooled(spark, d):
     return fc.PolynomialTrend(interval="1mo", pooled=True).fit(monthly(spark, d)).predict(14)
 
 
-@query()
+@query(f"{M}, {_ASK}, p AS (SELECT y, date_diff('month', t0, time)::DOUBLE AS t FROM mn), {fitted('q', 'y', 't', 't * t', 'p')} SELECT {_FKEY}, {r("k0 + ka * (date_diff('month', t0, t1) + h) + kb * pow(date_diff('month', t0, t1) + h, 2)", 'y_hat')} FROM ask, q")
 def forecast_trend_quadratic(spark, d):
     return fc.PolynomialTrend(interval="1mo", degree=2, pooled=True).fit(monthly(spark, d)).predict(14)
 
@@ -217,6 +217,14 @@ def forecast_fourier(spark, d):
     return fc.FourierSeasonality(interval="1mo", seasonality=12, harmonics=(1, 2)).fit(monthly(spark, d)).predict(14)
 
 
+_WAVE = "2 * pi() * {t} / 12"
+
+
+@query(f"{M}, {_ASK}, p AS (SELECT y, date_diff('month', t0, time)::DOUBLE AS t FROM mn), {fitted('q', 'y', f'sin({_WAVE.format(t='t')})', f'cos({_WAVE.format(t='t')})', 'p')} SELECT {_FKEY}, {r(f"k0 + ka * sin({_WAVE.format(t="(date_diff('month', t0, t1) + h)")}) + kb * cos({_WAVE.format(t="(date_diff('month', t0, t1) + h)")})", 'y_hat')} FROM ask, q")
+def forecast_fourier_first_harmonic(spark, d):
+    return fc.FourierSeasonality(interval="1mo", seasonality=12, harmonics=(1,)).fit(monthly(spark, d)).predict(14)
+
+
 _DIRECT = f"{M}, ld AS (SELECT g, y, rn, n, {', '.join(f'lead(y, {h}) OVER ({BY}) AS a{h}' for h in (1, 2, 3))} FROM mn), cf AS ({' UNION ALL '.join(f'SELECT {h} AS h, regr_slope(a{h}, y) AS s, regr_intercept(a{h}, y) AS i FROM ld WHERE a3 IS NOT NULL' for h in (1, 2, 3))}), lst AS (SELECT g, t0, t1, y FROM mn WHERE rn = n)"
 
 

@@ -1,4 +1,4 @@
-"""Queries of operators that SQL cannot express; tests hold them against known cases."""
+"""Queries of learned and signal operators; tests/test_library.py holds those without SQL against known cases."""
 
 from __future__ import annotations
 
@@ -9,15 +9,15 @@ from tidemark.models import learned as ln
 from tidemark.models.forecasters import SeasonalNaive
 from tidemark.operators import signal as sg
 from tidemark.operators.reshape import window_futures
-from tidemark.plans.registry import DAILY, KEY, MONTHLY, daily, monthly, query, r, table
+from tidemark.plans.registry import DAILY, KEY, MONTHLY, daily, monthly, query, r, recursion, table
 
 
-@query()
+@query(f"{recursion(*sg.design('butterworth', 'lowpass', 2, 0.2))} SELECT {KEY}, {r('o1', 'y_filtered')} FROM e")
 def filter_butterworth(spark, d):
     return sg.NumericalFilter(order=2, cutoff=0.2, columns=("y",)).transform(daily(spark, d))
 
 
-@query()
+@query(f"{recursion(*sg.design('chebyshev1', 'highpass', 3, 0.3))} SELECT {KEY}, {r('o1', 'y_filtered')} FROM e")
 def filter_chebyshev_highpass(spark, d):
     return sg.NumericalFilter(design="chebyshev1", mode="highpass", order=3, cutoff=0.3, columns=("y",)).transform(daily(spark, d))
 
@@ -57,7 +57,7 @@ def forecast_class_probabilities(spark, d):
     return ln.ClassProbaReduction(interval="1mo").fit(rows).predict_proba(2)
 
 
-@query()
+@query(f"WITH {MONTHLY}, m AS (SELECT g, time, y, y * 0.5 + month(time) AS x, row_number() OVER (PARTITION BY g ORDER BY time DESC) AS b, max(time) OVER (PARTITION BY g) AS t1 FROM monthly) SELECT g AS \"group\", strftime(t1, '%Y-%m-%d %H:%M:%S') AS vintage_time, strftime(t1 + INTERVAL 1 MONTH * (13 - b)::INTEGER, '%Y-%m-%d %H:%M:%S') AS time, (13 - b)::INTEGER AS step, {r('(SELECT regr_intercept(y, x) FROM m) + (SELECT regr_slope(y, x) FROM m) * x', 'y_hat')} FROM m WHERE b BETWEEN 7 AND 12")
 def forecast_from_forecasted_feature(spark, d):
     rows = monthly(spark, d).withColumn("x", F.col("y") * 0.5 + F.month("time"))
     return ln.ForecastedFeature(features=("x",), feature_model=SeasonalNaive(seasonality=12), interval="1mo").fit(rows).predict(6)

@@ -70,6 +70,11 @@ def integrate_trapezoid(spark, d):
     return wn.Integrator(columns=("y",)).transform(daily(spark, d))
 
 
+@query(f"{N}, s AS (SELECT *, lag(y) OVER ({BY}) AS b1, lag(y, 2) OVER ({BY}) AS b2, lead(y) OVER ({BY}) AS a1 FROM n) SELECT {KEY}, {r(f'sum(CASE WHEN rn = 0 THEN 0 WHEN rn % 2 = 1 AND a1 IS NOT NULL THEN (1.25 * b1 + 2 * y - 0.25 * a1) / 3 * 3600 ELSE (1.25 * y + 2 * b1 - 0.25 * b2) / 3 * 3600 END) OVER ({BY})', 'y_integrated')} FROM s")
+def integrate_simpson(spark, d):
+    return wn.Integrator(columns=("y",), method="simpson", seconds=3600.0).transform(daily(spark, d))
+
+
 @query(f"{N} SELECT {KEY}, {r(f'CASE WHEN rn = 0 THEN (lead(y) OVER ({BY}) - y) / 3600 WHEN rn = n - 1 THEN (y - lag(y) OVER ({BY})) / 3600 ELSE (lead(y) OVER ({BY}) - lag(y) OVER ({BY})) / 7200 END', 'y_differentiated')} FROM n")
 def gradient(spark, d):
     return wn.Differentiator(seconds=3600.0, columns=("y",)).transform(daily(spark, d))
@@ -197,7 +202,16 @@ def holiday_features(spark, d):
     return ft.HolidayFeatures(holidays=_DAYS).transform(daily(spark, d))
 
 
-@query()
+_LOCAL = "timezone('America/Chicago', timezone('UTC', {}))"
+_UTC = "timezone('UTC', timezone('America/Chicago', {}))"
+_OFFSET = "date_diff('minute', {}, " + _LOCAL + ")"
+
+
+def _offset(t: str) -> str:
+    return _OFFSET.format(t, t)
+
+
+@query(f"{D}, l AS (SELECT *, date_trunc('day', {_LOCAL.format('time')})::TIMESTAMP AS day FROM daily), u AS (SELECT *, {_UTC.format('day')} AS a, {_UTC.format('(day + INTERVAL 1 DAY)')} AS b, make_timestamp(year(day), 1, 1, 0, 0, 0) AS w, make_timestamp(year(day), 7, 1, 0, 0, 0) AS s FROM l) SELECT {KEY}, ({_offset('time')} > least({_offset('w')}, {_offset('s')}))::INTEGER AS dst_in_effect, ({_offset('a')} <> {_offset('b')})::INTEGER AS dst_transition_day, sign({_offset('b')} - {_offset('a')})::INTEGER AS dst_transition_type FROM u")
 def daylight_saving(spark, d):
     return ft.DaylightSaving().transform(daily(spark, d))
 
@@ -272,7 +286,10 @@ def polynomial_features(spark, d):
     return sc.PolynomialFeatures().transform(daily(spark, d))
 
 
-@query()
+_LEVELS = ", ".join(f"{i}/999.0::DOUBLE" for i in range(1000))
+
+
+@query(f"{D}, q AS (SELECT unnest(quantile_cont(y::DOUBLE, [{_LEVELS}])) AS k FROM daily), i AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS i FROM q), v AS (SELECT DISTINCT y::DOUBLE AS y FROM daily), b AS (SELECT y, count(*) FILTER (k < y) AS lo, count(*) FILTER (k <= y) AS hi, max(k) FILTER (k < y) AS a, min(k) FILTER (k > y) AS c FROM v CROSS JOIN i GROUP BY y), f AS (SELECT y, CASE WHEN hi > lo THEN (lo + hi - 1) / 2.0 ELSE lo - 1 + (y - a) / (c - a) END / 999.0 AS p FROM b) SELECT {KEY}, {r('p', 'y')} FROM daily JOIN f ON f.y = daily.y::DOUBLE")
 def quantile_transform(spark, d):
     rows = daily(spark, d)
     return sc.QuantileTransformer(columns=("y",)).fit(rows).transform(rows)
@@ -284,7 +301,12 @@ def power_transform(spark, d):
     return sc.PowerTransformer(columns=("y",)).fit(rows).transform(rows)
 
 
-@query()
+def _cubic(t: str) -> str:
+    """The cardinal cubic B-spline on [0, 4]."""
+    return f"CASE WHEN {t} < 0 OR {t} > 4 THEN 0 WHEN {t} < 1 THEN pow({t}, 3) / 6 WHEN {t} < 2 THEN (4 - 12 * {t} + 12 * pow({t}, 2) - 3 * pow({t}, 3)) / 6 WHEN {t} < 3 THEN (-44 + 60 * {t} - 24 * pow({t}, 2) + 3 * pow({t}, 3)) / 6 ELSE pow(4 - {t}, 3) / 6 END"
+
+
+@query(f"{D}, e AS (SELECT min(y)::DOUBLE AS a, max(y)::DOUBLE AS b FROM daily), u AS (SELECT g, time, (y - a) / ((b - a) / 4) AS u FROM daily, e) SELECT {KEY}, {', '.join(r(_cubic(f'(u - {i - 3})'), f'y_sp_{i}') for i in range(7))} FROM u")
 def spline_transform(spark, d):
     rows = daily(spark, d)
     return sc.SplineTransformer(columns=("y",)).fit(rows).transform(rows)
