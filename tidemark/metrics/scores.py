@@ -28,9 +28,9 @@ def without_partial_vintage(rows: DataFrame) -> DataFrame:
     """Drops the last of at least three vintages if it comes sooner after the one before than vintages mostly do (ties: the
     smaller gap). Lazy: the distinct vintages, one aggregate row and a join; rows are scanned once more, never collected."""
     vintages = rows.select("vintage_time").distinct().groupBy().agg(F.array_sort(F.collect_list(F.unix_micros(F.col("vintage_time").cast("timestamp")))).alias("_v"))
-    gaps = F.transform(F.sequence(F.lit(2), F.size("_v")), lambda i: F.element_at("_v", i) - F.element_at("_v", i - 1))
-    found = vintages.filter(F.size("_v") >= 3).select(F.element_at("_v", -1).alias("_last"), gaps.alias("_g"))
-    often = found.select("_last", F.element_at("_g", -1).alias("_gap"), F.explode("_g").alias("_g")).groupBy("_last", "_gap", "_g").agg(F.count("*").alias("_n"))
+    gaps = F.transform(F.sequence(F.lit(2), F.greatest(F.size("_v"), F.lit(2))), lambda i: F.try_element_at("_v", i) - F.try_element_at("_v", i - 1))
+    found = vintages.filter(F.size("_v") >= 3).select(F.try_element_at("_v", F.lit(-1)).alias("_last"), gaps.alias("_g"))
+    often = found.select("_last", F.try_element_at("_g", F.lit(-1)).alias("_gap"), F.explode("_g").alias("_g")).groupBy("_last", "_gap", "_g").agg(F.count("*").alias("_n"))
     often = often.groupBy("_last", "_gap").agg(F.max(F.struct("_n", (-F.col("_g")).alias("_g"))).alias("_m"))
     partial = often.filter(F.col("_gap") < -F.col("_m._g")).select(F.timestamp_micros("_last").cast(rows.schema["vintage_time"].dataType).alias("vintage_time"))
     return rows.join(partial, "vintage_time", "left_anti")
