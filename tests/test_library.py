@@ -602,3 +602,95 @@ def test_streams(spark, tmp_path):
 def test_pandas_stays_out_of_the_plans_of_window_operators(spark):
     plan = ExponentialMovingAverage().transform(series(spark, [1, 2]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+# --- grids, archives of text, pipelines backwards, models rolled ----------------------------------------------------
+
+
+def test_intervals_of_grids(spark):
+    from tidemark.operators.intervals import Interval, inferred, representative
+
+    assert inferred(series(spark, range(4))) == Interval(1, "d") and inferred(series(spark, range(4), unit="hours")) == Interval(1, "h")
+    months = spark.createDataFrame([("a", dt.datetime(2024, m, 1)) for m in range(1, 7)], "group string, time timestamp_ntz")
+    assert inferred(months) == Interval(1, "mo")
+    jitter = spark.range(3000).select(F.lit("a").alias("group"), F.timestamp_micros(F.col("id") * 1_000_000 + F.col("id") * F.col("id") % 997).cast("timestamp_ntz").alias("time"))
+    assert abs(inferred(jitter).seconds - 1) < 0.01
+    gap = jitter.filter("minute(time) != 20")
+    assert abs(inferred(gap).seconds - 1) < 0.01 and abs(representative(gap).seconds - 1) < 0.01  # a minute is within the hour
+    with pytest.raises(ValueError):
+        inferred(spark.createDataFrame([("a", START + dt.timedelta(days=d)) for d in (0, 1, 5)], "group string, time timestamp_ntz"))
+    assert representative(spark.createDataFrame([("a", START + dt.timedelta(hours=h)) for h in (0, 1, 2, 9, 10)], "group string, time timestamp_ntz")) == Interval(1, "h")
+    for bad in (series(spark, [1]), series(spark, [1, 2]).withColumn("time", F.lit(START))):
+        with pytest.raises(ValueError):
+            representative(bad)
+
+
+def test_text_archives_both_ways(spark, tmp_path):
+    from tidemark.sources import tsf
+
+    rows = spark.createDataFrame([("s1", START + dt.timedelta(days=i), x) for i, x in enumerate([1.0, None, 3.5])] + [("s2", START, 7.0)], "series_name string, time timestamp_ntz, value double")
+    tsf.write_tsf(rows, str(tmp_path / "x"), "daily")
+    got = tsf.read_tsf(spark, str(tmp_path / "x" / "*"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    (tmp_path / "no.tsf").write_text("@attribute series_name string\n")
+    with pytest.raises(ValueError):
+        tsf.read_tsf(spark, str(tmp_path / "no.tsf"))
+    (tmp_path / "plain.tsf").write_text("@attribute series_name string\n@frequency monthly\n@data\na:1,2\nb:3\n")
+    plain = tsf.read_tsf(spark, str(tmp_path / "plain.tsf")).orderBy("series_name", "time").collect()
+    assert [(r.series_name, r.time.month, r.value) for r in plain] == [("a", 1, 1.0), ("a", 2, 2.0), ("b", 1, 3.0)]
+
+
+def test_pipelines_backwards(spark):
+    from tidemark.compose.pipeline import Pipeline
+    from tidemark.operators.scalers import StandardScaler
+    from tidemark.operators.stationarity import Log, SeasonalDifferencing
+
+    df = series(spark, [2.0 ** (i % 5) + i for i in range(20)])
+    both = Pipeline(steps=(StandardScaler(), SeasonalDifferencing(seasonality=5))).fit(df)
+    changed = both.transform(df)
+    past = df.filter(F.col("time") < F.lit(START + dt.timedelta(days=10)))
+    back = both.inverse_transform(changed.filter(F.col("time") >= F.lit(START + dt.timedelta(days=10))), past)
+    column = next(c for c in back.columns if c not in ("group", "time"))
+    assert np.allclose(values(back, column), values(df, "y")[10:])
+    with pytest.raises(ValueError):
+        both.inverse_transform(changed)
+    logs = Pipeline(steps=(Log(offset=1.0),)).fit(df)
+    back = logs.inverse_transform(logs.transform(df))
+    assert np.allclose(values(back, next(c for c in back.columns if c not in ("group", "time"))), values(df, "y"))
+    with pytest.raises(ValueError):
+        Pipeline(steps=(Lag(),)).fit(df).inverse_transform(df)
+
+
+def test_models_rolled_over_rows(spark):
+    from tidemark.models.forecasters import MeanSeasonalNaive, PatternSeasonality
+
+    y = [float(i % 3) + i / 10 for i in range(30)]
+    df = series(spark, y, ("a", "b"))
+    head = df.filter(F.col("time") < F.lit(START + dt.timedelta(days=24)))
+    for model in (SeasonalNaive(seasonality=3), MeanSeasonalNaive(seasonality=3, n_seasons=2), PatternSeasonality(seasonality=3), Reduction(lags=(0, 2), strategy="recursive"), Reduction(lags=(0, 1), strategy="dir-rec"), PolynomialTrend(), ex.ExogenousReduction(lags=(0, 2), strategy="recursive")):
+        fitted = model.fit(head)
+        at_end = {(r.group, r.step): r.y_hat for r in fitted.predict(2).collect()}
+        rolled = ex.rolled(fitted, head, 2, stride=4).collect()
+        last = max(r.vintage_time for r in rolled)
+        assert last == START + dt.timedelta(days=23) and len(rolled) >= 2 * 2 * 5
+        assert all(np.isclose(at_end[r.group, r.step], r.y_hat) for r in rolled if r.vintage_time == last), model
+        later = ex.rolled(fitted, df, 1).filter(F.col("vintage_time") == F.lit(START + dt.timedelta(days=26))).first()
+        if isinstance(model, MeanSeasonalNaive):
+            assert np.isclose(later.y_hat, (y[24] + y[21]) / 2)
+        if isinstance(model, SeasonalNaive):
+            assert np.isclose(later.y_hat, y[24])
+
+
+def test_candidates_by_chance():
+    from tidemark.selection.search import grid, randomized
+
+    options = {"a": [1, 2, 3], "b": [4, 5]}
+    some = randomized(options, 4, seed=3)
+    assert len(some) == 4 and some == randomized(options, 4, seed=3) and all(c in list(grid(options)) for c in some) and len(randomized(options, 99)) == 6
+
+
+def test_weights_from_a_table(spark):
+    table = spark.createDataFrame([(START, 2.0), (START + dt.timedelta(days=1), 0.5)], "time timestamp_ntz, weight double")
+    assert values(ft.table_weights(series(spark, [1, 2]), table, ["time"]), "weight") == [2.0, 0.5]
+    with pytest.raises(Exception, match="no weight"):
+        ft.table_weights(series(spark, [1, 2, 3]), table, ["time"]).collect()

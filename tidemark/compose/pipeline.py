@@ -5,6 +5,7 @@ Branches meet by an inner join on (keys, time), so that the longest warm-up deci
 
 from __future__ import annotations
 
+import inspect
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -22,7 +23,9 @@ class Pipeline(Operator):
     steps: tuple[Operator, ...] = ()
 
     def fit(self, df: DataFrame) -> Pipeline:
+        self.seen = []  # the value columns that each step was given
         for i, step in enumerate(self.steps):
+            self.seen.append(tuple(step.values(df)))
             step.fit(df)
             if i < len(self.steps) - 1:
                 df = step.transform(df)
@@ -31,6 +34,21 @@ class Pipeline(Operator):
     def transform(self, df: DataFrame) -> DataFrame:
         return reduce(lambda rows, step: step.transform(rows), self.steps, df)
 
+    def inverse_transform(self, df: DataFrame, past: DataFrame | None = None) -> DataFrame:
+        """The steps undone, last one first. past: the rows before df as they were, for steps that look back; each step gets
+        them as the steps before it left them. A step without an inverse is an error."""
+        befores = [past]
+        for step in self.steps[:-1]:
+            befores.append(befores[-1] if befores[-1] is None else step.transform(befores[-1]))
+        for step, before, columns in zip(reversed(self.steps), reversed(befores), reversed(self.seen)):
+            if not hasattr(step, "inverse_transform"):
+                raise ValueError(f"{type(step).__name__} has no inverse")
+            asked = inspect.signature(step.inverse_transform).parameters
+            if "past" in asked and before is None:
+                raise ValueError(f"{type(step).__name__} needs the rows before")
+            df = step.inverse_transform(df, **({"past": before} if "past" in asked else {}) | ({"columns": columns} if "columns" in asked else {}))
+        return df
+
 
 @dataclass
 class Union(Operator):

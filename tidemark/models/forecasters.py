@@ -73,6 +73,17 @@ class MeanSeasonalNaive(Forecaster):
         asked = self.future(horizon).withColumn("_back", F.lit(s - 1) - F.pmod(F.col("step") - 1, F.lit(s)))
         return self.shaped(asked.join(mean, [*self.keys, "_back"], "left"), F.col("_y"))
 
+    def rolled(self, df: DataFrame, horizon: int, stride: int = 1) -> DataFrame:
+        """Forecasts from every stride-th row of df as vintage, counted back from the end."""
+        w, s = self.by_time(), self.seasonality
+        past = F.array(*(F.lag(F.col(self.target).cast("double"), k).over(w) for k in range(s * self.n_seasons)))
+        rows = numbered(df, self).withColumn("_past", past).withColumn("_last", F.max("_rn").over(self.whole()))
+        rows = rows.filter((F.col("_last") - F.col("_rn")) % stride == 0).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+        own = F.filter("_past", lambda x, i: (i % s == s - 1 - F.pmod(F.col("step") - 1, F.lit(s))) & x.isNotNull())
+        mean = F.aggregate(own, F.lit(0.0), lambda a, x: a + x) / F.when(F.size(own) > 0, F.size(own))
+        at = Interval.parse(self.interval).after(F.col(self.time), F.col("step"))
+        return rows.select(*self.keys, F.col(self.time).alias("vintage_time"), at.alias(self.time), "step", mean.alias("y_hat"))
+
 
 @dataclass
 class PatternSeasonality(Forecaster):
@@ -102,6 +113,16 @@ class PatternSeasonality(Forecaster):
         rows = self.train.withColumn("_back", ((F.row_number().over(w) - 1) % self.seasonality).cast("int"))
         return rows.join(self.pattern, [*self.by, "_back"], "left").select(*self.keys, self.time, F.col("_y").alias("y_hat"))
 
+    def rolled(self, df: DataFrame, horizon: int, stride: int = 1) -> DataFrame:
+        """The pattern, as fitted, at the stamps after every stride-th row of df, counted back from the end."""
+        i = Interval.parse(self.interval)
+        rows = numbered(df, self).withColumn("_last", F.max("_rn").over(self.whole()))
+        rows = rows.filter((F.col("_last") - F.col("_rn")) % stride == 0).select(*self.keys, F.col(self.time).alias("_v"), F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
+        rows = rows.withColumn(self.time, i.after(F.col("_v"), F.col("step"))).join(self.ends, list(self.keys))
+        beyond = i.between(F.col("vintage_time"), F.col(self.time))  # intervals after the end of the fitted rows
+        rows = rows.withColumn("_back", (self.seasonality - 1 - F.pmod(beyond - 1, F.lit(self.seasonality))).cast("int"))
+        return rows.join(self.pattern, [*self.by, "_back"], "left").select(*self.keys, F.col("_v").alias("vintage_time"), self.time, "step", F.col("_y").alias("y_hat"))
+
 
 def least_squares(df: DataFrame, x: list[Column], y: list[Column], ridge: float = 0.0) -> np.ndarray:
     """Coefficients (an intercept and one for each x, by each y) of all rows without nulls, from one aggregate of products.
@@ -203,7 +224,8 @@ class Reduction(Forecaster):
     def _lagged(self, df: DataFrame) -> DataFrame:
         w = self.by_time()
         y = F.col(self.target).cast("double")
-        df = numbered(df, self).withColumns({f"_l{k}": F.lag(y, k).over(w) for k in self.lags} | {f"_a{h}": F.lead(y, h).over(w) for h in range(1, self.horizon + 1)})
+        known = range(max(self.lags) + 1) if self.strategy == "recursive" else self.lags  # the recursion needs those between
+        df = numbered(df, self).withColumns({f"_l{k}": F.lag(y, k).over(w) for k in known} | {f"_a{h}": F.lead(y, h).over(w) for h in range(1, self.horizon + 1)})
         return df.withColumn("_last", F.max("_rn").over(self.whole()))
 
     def learn(self, df: DataFrame) -> None:
@@ -223,22 +245,27 @@ class Reduction(Forecaster):
                     x = [*x, F.col(f"_p{h}")]
 
     def predict(self, horizon: int) -> DataFrame:
-        last = self._lagged(self.train).filter("_rn = _last").join(self.ends, list(self.keys))
-        known = {k: F.col(f"_l{k}") for k in self.lags}
-        x, made = list(known.values()), []
+        return self._stepped(self._lagged(self.train).filter("_rn = _last"), horizon)
+
+    def rolled(self, df: DataFrame, horizon: int, stride: int = 1) -> DataFrame:
+        """Forecasts from every stride-th row of df (counted back from the end) as vintage, by the fitted models."""
+        return self._stepped(self._lagged(df).filter((F.col("_last") - F.col("_rn")) % stride == 0), horizon)
+
+    def _stepped(self, rows: DataFrame, horizon: int) -> DataFrame:
+        x, made = [F.col(f"_l{k}") for k in self.lags], []
         if self.strategy == "recursive":
-            at = {-k: c for k, c in known.items()}
+            at = {-k: F.col(f"_l{k}") for k in range(max(self.lags) + 1)}
             for h in range(1, horizon + 1):
-                last = last.withColumn(f"_p{h}", _linear(self.models[0], [at[h - 1 - k] for k in self.lags]))
+                rows = rows.withColumn(f"_p{h}", _linear(self.models[0], [at[h - 1 - k] for k in self.lags]))
                 at[h] = F.col(f"_p{h}")
                 made.append(at[h])
         else:
             for h, b in enumerate(self.models[:horizon], 1):
-                last = last.withColumn(f"_p{h}", _linear(b, x))
+                rows = rows.withColumn(f"_p{h}", _linear(b, x))
                 made.append(F.col(f"_p{h}"))
                 if self.strategy == "dir-rec":
                     x = [*x, F.col(f"_p{h}")]
-        steps = last.withColumn("_s", F.explode(F.array(*(F.struct(F.lit(h).alias("step"), p.alias("y_hat")) for h, p in enumerate(made, 1)))))
+        steps = rows.select(*self.keys, F.col(self.time).alias("vintage_time"), F.explode(F.array(*(F.struct(F.lit(h).alias("step"), p.alias("y_hat")) for h, p in enumerate(made, 1)))).alias("_s"))
         return steps.select(*self.keys, "vintage_time", Interval.parse(self.interval).after(F.col("vintage_time"), F.col("_s.step")).alias(self.time), F.col("_s.step").alias("step"), F.col("_s.y_hat").alias("y_hat"))
 
 

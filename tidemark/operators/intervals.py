@@ -75,28 +75,44 @@ def normalised(interval: timedelta) -> Interval:
     return Interval(round(interval / timedelta(microseconds=1)), "us")
 
 
-def inferred(df: DataFrame, keys: tuple[str, ...] = ("group",), time: str = "time") -> Interval:
-    """The interval of a regular grid: one delta, or fixed deltas under a day that differ by at most an hour (their median), or
-    whole months. Anything else, and duplicate time stamps, is an error."""
-    w = Window.partitionBy(*keys).orderBy(time)
+def _deltas(df: DataFrame, keys: tuple[str, ...], time: str) -> DataFrame:
+    """(d, m, day): microseconds and months since the row before in its series, and the day of the month, 31 at its end."""
     t = F.col(time).cast("timestamp")
-    before = F.lag(t).over(w)
+    before = F.lag(t).over(Window.partitionBy(*keys).orderBy(time))
     months = F.months_between(F.trunc(t, "month"), F.trunc(before, "month")).cast("int")
-    rows = df.select((F.unix_micros(t) - F.unix_micros(before)).alias("d"), months.alias("m"), F.when(t == F.last_day(t), 31).otherwise(F.dayofmonth(t)).alias("day")).filter("d is not null")
-    found = rows.groupBy("d").agg(F.min("m").alias("lo"), F.max("m").alias("hi"), F.min("day").alias("d0"), F.max("day").alias("d1")).orderBy("d").limit(1000).collect()
-    if not found:
+    return df.select((F.unix_micros(t) - F.unix_micros(before)).alias("d"), months.alias("m"), F.when(t == F.last_day(t), 31).otherwise(F.dayofmonth(t)).alias("day")).filter("d is not null")
+
+
+def _upper_middle(rows: DataFrame, n: int) -> int:
+    """Of n values d the one at place n // 2 of their order: one that is there, never a mean of two."""
+    return rows.agg(F.expr(f"percentile_disc({(n // 2 + 0.5) / n!r}D) WITHIN GROUP (ORDER BY d)")).first()[0]
+
+
+def inferred(df: DataFrame, keys: tuple[str, ...] = ("group",), time: str = "time") -> Interval:
+    """The interval of a regular grid: one delta, or fixed deltas under a day that differ by at most an hour (their median), or
+    whole months. Anything else, and duplicate time stamps, is an error. All steps count, however many there are."""
+    distinct = _deltas(df, keys, time).groupBy("d").agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
+    s = distinct.agg(F.count("*").alias("n"), F.min("d").alias("least"), F.max("d").alias("most"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+    if not s["n"]:
         raise ValueError("an interval needs two time stamps in a series")
-    deltas = [r["d"] for r in found]
-    if deltas[0] <= 0:
+    if s["least"] <= 0:
         raise ValueError("a series has a time stamp twice")
-    if len(deltas) == 1:
-        return normalised(timedelta(microseconds=deltas[0])) if deltas[0] >= 28 * 86_400_000_000 else _fixed(deltas[0])
-    if deltas[-1] < 86_400_000_000 and deltas[-1] - deltas[0] <= 3_600_000_000:
-        return _fixed(deltas[len(deltas) // 2])
-    step = {r["lo"] for r in found} | {r["hi"] for r in found}
-    if len(step) == 1 and min(step) > 0:
-        return Interval(step.pop(), "mo")
-    raise ValueError(f"no regular grid: {len(deltas)} different steps")
+    if s["n"] == 1:
+        return normalised(timedelta(microseconds=s["least"])) if s["least"] >= 28 * 86_400_000_000 else _fixed(s["least"])
+    if s["most"] < 86_400_000_000 and s["most"] - s["least"] <= 3_600_000_000:
+        return _fixed(_upper_middle(distinct, s["n"]))
+    if s["lo"] == s["hi"] and s["lo"] > 0:
+        return Interval(s["lo"], "mo")
+    raise ValueError(f"no regular grid: {s['n']} different steps")
+
+
+def representative(df: DataFrame, keys: tuple[str, ...] = ("group",), time: str = "time") -> Interval:
+    """The middle one of all positive steps, for grids with gaps and jitter; an error only where there is none."""
+    rows = _deltas(df, keys, time).filter("d > 0")
+    n = rows.count()
+    if not n:
+        raise ValueError("an interval needs two different time stamps in a series")
+    return _fixed(_upper_middle(rows, n))
 
 
 def _fixed(micros: int) -> Interval:

@@ -29,11 +29,13 @@ class SeasonalDifferencing(Operator):
         return out.filter(F.col("_rn") >= self.seasonality).drop("_rn")
 
     def inverse_transform(self, changed: DataFrame, past: DataFrame) -> DataFrame:
-        """Values again, from what transform() gave and the s rows before it (of df's own columns).
+        """Values again, from what transform() gave and the rows before it (of df's own columns), of which the last s count.
 
         Each phase is a prefix sum, so no recursion is needed.
         """
         columns = self.values(past)
+        last = Window.partitionBy(*self.keys).orderBy(F.desc(self.time))
+        past = past.withColumn("_back", F.row_number().over(last)).filter(F.col("_back") <= self.seasonality).drop("_back")
         seed = past.select(*self.index(), *(F.col(c).cast("double").alias(c) for c in columns), F.lit(True).alias("_seed"))
         both = numbered(seed.unionByName(changed.select(*self.index(), *(F.col(self.name(c)).alias(c) for c in columns), F.lit(False).alias("_seed"))), self)
         w = Window.partitionBy(*self.keys, "_phase").orderBy(self.time).rowsBetween(Window.unboundedPreceding, 0)
