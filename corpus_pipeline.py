@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = languages.fit(docs.withColumn("_key", key), key="_key")
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    least = ODDS / (ODDS + len(model.languages) - 1)
+    least = ODDS / (ODDS + (len(model.languages) - 1))
     judged = languages.predict(rows, model, keep=("row",)).filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
     return judged.select(*(F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else f"row.{c}" for c in docs.columns))
 
