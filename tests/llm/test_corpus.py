@@ -312,7 +312,7 @@ def test_the_whole_pipeline_by_brute_force(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     model = languages.fit(docs)
-    least = corpus_pipeline.ODDS / (corpus_pipeline.ODDS + len(model.languages) - 1)
+    least = corpus_pipeline.ODDS / (corpus_pipeline.ODDS + (len(model.languages) - 1))
     scores = {r.doc_id: (r.lang_pred, r.score) for r in languages.predict(docs, model).collect()}
     kept = {i: t for i, t, _ in rows if scores[i][0] != "und" and scores[i][1] >= least}
     parts = brute_jaccard([*kept.items()])
