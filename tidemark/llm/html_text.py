@@ -200,12 +200,12 @@ def path_scores(found: list[Block], marked: list[bool]) -> tuple[np.ndarray, np.
     return _smoothed(lengths) * _smoothed(marks) * evidence, lengths * marks * evidence
 
 
-def _held(found: list[Block], weights: np.ndarray, elements: list[Element]) -> np.ndarray:
+def _held(found: list[Block], weights: np.ndarray, elements: list[Element]) -> list[float]:
     """The weight of the blocks in each element, by its number."""
-    out = np.zeros(len(elements))
-    np.add.at(out, [b.at.number for b in found], weights)
-    for e in reversed(elements[1:]):
-        out[e.parent.number] += out[e.number]
+    out = np.bincount([b.at.number for b in found], weights, len(elements)).tolist()
+    for e in reversed(elements):
+        if out[e.number] and e.parent is not None:
+            out[e.parent.number] += out[e.number]
     return out
 
 
