@@ -259,7 +259,7 @@ def repeated_spans(texts: DataFrame, length: int = 200, width: int = WIDTH, heav
     each = marked.select("id", F.inline(F.arrays_zip("fp", "ctx", "a", "n")))
     often = marked.select(F.inline(F.arrays_zip("fp", "ctx"))).groupBy("fp").agg(F.count("*").alias("t"), F.min("ctx").alias("low"), F.max("ctx").alias("high")).filter("t > 1 or low < 0")
     again, again_path = stored(often.select("fp", F.expr("low < high or low < 0").alias("several")))
-    met, met_path = stored(each.join(again, "fp"))
+    met, met_path = stored(each.join(again.hint("merge"), "fp"))  # what grows with the table is never broadcast
     removed(spark, marked_path, again_path)
     # equal contexts are one entry: that of the smallest id, with their number
     kinds, kinds_path = stored(met.filter("several").groupBy("fp", "ctx").agg(F.count("*").alias("k"), F.min("id").alias("id"), F.min_by("a", "id").alias("a"), F.max("n").alias("n")))
@@ -268,7 +268,7 @@ def repeated_spans(texts: DataFrame, length: int = 200, width: int = WIDTH, heav
 
     span = lambda a, n: F.struct(F.col(a).alias("a"), (F.col(a) + F.col(n) + F.lit(length - 1)).cast("int").alias("b"))
     copied = met.filter("not several").select("id", span("a", "n").alias("s"))
-    copied = copied.union(met.filter("several").join(kinds.filter("k > 1").select("fp", "ctx"), ["fp", "ctx"], "left_semi").select("id", span("a", "n").alias("s")))
+    copied = copied.union(met.filter("several").join(kinds.filter("k > 1").select("fp", "ctx").hint("merge"), ["fp", "ctx"], "left_semi").select("id", span("a", "n").alias("s")))
 
     def with_bytes(entries: DataFrame, run, schema: str) -> DataFrame:
         by_text = entries.groupBy("id").agg(F.collect_list(F.struct("fp", "a", "n", "k")).alias("e"))
